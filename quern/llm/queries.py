@@ -102,7 +102,7 @@ WITH t AS (SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS
 ), p AS (
   SELECT k.*, n, CASE WHEN n = 0 OR k >= n * {0.05 / len(rules.RULES)!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({0.05 / len(rules.RULES)!r}) + (n - i) * ln(1 - {0.05 / len(rules.RULES)!r})))) END AS tail
   FROM k JOIN held USING (stratum)
-), best AS (SELECT stratum, rule, max(struct_pack(net := bad - {rules.GOOD_WEIGHT} * k, cutoff := cutoff)).cutoff AS cutoff FROM p WHERE tail <= 0.05 / ((SELECT count(*) FROM held) * {len(_tests)}) AND bad - {rules.GOOD_WEIGHT} * k > 0 GROUP BY ALL
+), best AS (SELECT stratum, rule, max(struct_pack(net := bad - {rules.GOOD_WEIGHT} * k, cutoff := cutoff)).cutoff AS cutoff FROM p WHERE tail <= 0.05 / ((SELECT count(DISTINCT stratum) FROM b) * {len(_tests)}) AND bad - {rules.GOOD_WEIGHT} * k > 0 GROUP BY ALL
 ), broken AS (SELECT DISTINCT doc_id FROM v JOIN best USING (stratum, rule) WHERE ratio > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM b
 """

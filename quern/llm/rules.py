@@ -83,10 +83,9 @@ def thresholds(table: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delt
     by = held.groupBy("stratum").agg(F.sum((F.col("q") == 1).cast("long")).alias("n"), *sums)  # a row for each stratum
     rows = ", ".join(f"struct('{rule}' AS rule, {cut}D AS cutoff, coalesce(k{i}, 0L) AS k, coalesce(b{i}, 0L) AS b)" for i, (rule, cut) in enumerate(tests))
     long = by.select("stratum", "n", F.expr(f"inline(array({rows}))"))
-    strata = by.agg(F.count("*").alias("strata"))
-    long = long.join(F.broadcast(strata))  # one row
+    strata = table.select("stratum").distinct().count()  # one number
     p = alpha / len(RULES)
-    passed = long.where(log_tail(p) <= F.log(F.lit(delta) / (F.col("strata") * len(tests))))
+    passed = long.where(log_tail(p) <= F.log(F.lit(delta / (max(1, strata) * len(tests)))))
     net = F.col("b") - GOOD_WEIGHT * F.col("k")
     best = passed.where(net > 0).groupBy("stratum", "rule").agg(F.max(F.struct(net.alias("net"), "cutoff")).alias("best"))
     return best.select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
