@@ -45,7 +45,20 @@ def _ranks(*keys: np.ndarray) -> np.ndarray:
     key = keys[0]
     for k in keys[1:]:
         key = key * np.int64(int(k.max()) + 1) + k
-    return np.unique(key, return_inverse=True)[1].reshape(key.shape) + 1
+    flat = key.ravel()
+    order = np.argsort(flat)
+    new = np.r_[True, flat[order[1:]] != flat[order[:-1]]]
+    out = np.empty(len(flat), np.int64)
+    out[order] = np.cumsum(new)
+    return out.reshape(key.shape)
+
+
+def _ahead(rank: np.ndarray, places: int) -> np.ndarray:
+    """Each row moved ``places`` to the left, zeros coming in."""
+    out = np.zeros_like(rank)
+    if places < rank.shape[1]:
+        out[:, : rank.shape[1] - places] = rank[:, places:]
+    return out
 
 
 class RunIndex:
@@ -55,39 +68,38 @@ class RunIndex:
         m, width = padded.shape
         self.size, self.length = size, length
         inside = np.arange(width + 1) <= size[:, None]  # the end of a text is a suffix as well
-        block, rank, half = 1, np.pad(padded, ((0, 0), (0, 1))).astype(np.int64), None
-        while block < width + 1:
-            ahead = np.zeros_like(rank)
-            ahead[:, :-block] = rank[:, block:]
-            rank = _ranks(rank, ahead)
+        # ranks of eight bytes, then of twice as many at a time; ``half`` ranks exactly ``length`` bytes
+        first = np.zeros((m, width + 9), np.uint8)
+        first[:, :width] = padded
+        eight = np.ndarray((m, width + 1), ">u8", first.data, strides=(width + 9, 1)).astype(np.uint64)
+        block, rank, half = 8, _ranks(eight), None
+        while True:
             rank[~inside] = 0
+            if block <= length <= 2 * block:
+                half = _ranks(rank, _ahead(rank, length - block))
+            if block >= width + 1:
+                break
+            rank = _ranks(rank, _ahead(rank, block))
             block *= 2
-            if block * 2 > length >= block:
-                ahead = np.zeros_like(rank)
-                ahead[:, : -(length - block)] = rank[:, length - block :] if length > block else rank
-                half = _ranks(rank, ahead) if length > block else rank
         text, at = np.nonzero(inside)
-        order = np.lexsort((text, rank[inside]))  # equal suffixes go by text
+        order = np.argsort(rank[inside] * len(text) + np.arange(len(text)))  # equal suffixes go by text
         text, at = text[order], at[order]
         before = np.where(at > 0, padded[text, at - 1], 0)
         head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.rows, self.head, self.char = len(text), head, before[head]
         run = np.diff(np.r_[head, len(text)])
         self.sample = np.stack([text, at], 1)[head + run - 1]  # the suffix array at run ends
-        smaller = np.zeros(257, np.int64)
-        np.add.at(smaller[1:], self.char, run)
-        smaller = np.cumsum(smaller)
         by = np.argsort(self.char, kind="stable")
         total = np.cumsum(run[by]) - run[by]
         self.to = np.empty(len(head), np.int64)  # LF of each run's first row
         self.to[by] = total  # runs in order of their characters follow each other
-        del smaller
         # stretches of rows whose suffixes share ``length`` bytes, and the least owner in each
         long = at + length <= size[text]
         group = half[text, at]
         cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | ~long[1:] | ~long[:-1]])
-        self.stretch, self.least = cut, np.minimum.reduceat(owner[text], cut)
-        self.matches = long[cut]
+        least, most = np.minimum.reduceat(owner[text], cut), np.maximum.reduceat(owner[text], cut)
+        some = long[cut] & (least < most)  # only these can mark anything
+        self.stretch, self.past, self.least = np.r_[-1, cut[some]], np.r_[-1, np.r_[cut[1:], len(text)][some]], np.r_[0, least[some]]
 
     def lf(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row of the suffix that is one byte longer, and that byte (0 at a text's start)."""
@@ -105,7 +117,7 @@ class RunIndex:
             if not len(text):
                 break
             k = np.searchsorted(self.stretch, row, side="right") - 1
-            hit = self.matches[k] & (self.least[k] < owner[text])
+            hit = (row < self.past[k]) & (self.least[k] < owner[text])
             found_text.append(text[hit])
             found_at.append(at[hit])
         none = np.zeros(0, np.int64)
@@ -311,6 +323,8 @@ Finish = Callable[[pa.Table, list[bytes], list[list[tuple[int, int]]]], pa.Table
 
 def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int = 50, chunk_bytes: int = 12 << 20, hot: int = HOT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Apply ``finish`` to each chunk: its rows, the bytes they keep, and the spans they lose. ``schema``: of what it returns."""
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} at least")
     named = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -439,9 +453,9 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
             spans.append(own)
         return finish(table.drop_columns(["__id", "chunk"]), kept, spans)
 
-    entries = spread.select("__id", "chunk", text).groupBy("chunk").applyInArrow(send, PASS)
+    entries = spread.groupBy("chunk").applyInArrow(send, PASS)
     answers = entries.groupBy("part").applyInArrow(answer, PASS)
-    found = spread.select("__id", "chunk", text).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, PASS)
+    found = spread.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, PASS)
     spans = found.groupBy("part").applyInArrow(match, PASS)
     return spread.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, schema)
 
