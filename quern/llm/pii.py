@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -357,9 +358,9 @@ def redacted(docs: DataFrame, *, text: str = "text", steps: int = 300) -> DataFr
     tagger = trained(steps)
 
     @F.pandas_udf("string")
-    def mask(column):  # noqa: ANN001, ANN202
+    def mask(column: pd.Series) -> pd.Series:
         texts = ["" if t is None else t for t in column]
         out = [masked(t, spans) for t, (_, spans) in zip(texts, find(texts, tagger))]
-        return type(column)([None if t is None else o for t, o in zip(column, out)], dtype=object)
+        return pd.Series([None if t is None else o for t, o in zip(column, out)], dtype=object)
 
     return docs.withColumn(text, mask(F.col(text)))
