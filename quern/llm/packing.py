@@ -121,7 +121,7 @@ def ranked(pieces: DataFrame, order: list[str]) -> DataFrame:
     # one row for each partition and length in it: partitions + size at most, as the pieces are sorted by length
     ends = counted.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = ends.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
-    return counted.join(F.broadcast(before.drop("n")), ["part", "length"]).withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
+    return counted.join(F.broadcast(before.drop("n")), ["part", "length"]).withColumn("rank", F.col("before") + F.col("local")).select(*pieces.columns, "rank")
 
 
 def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:

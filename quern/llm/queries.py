@@ -108,15 +108,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 _OP3 = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), p AS (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2)) AS i FROM d
-), w AS (SELECT doc_id, i, n, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS g FROM p
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents
+), w AS (
+  SELECT doc_id, unnest(list_transform(range(0, octet_length(h)), lambda i: struct_pack(i := i, b := hex(h[i + 1:i + 1]), g := CASE WHEN i + 50 <= octet_length(h) THEN h[i + 1:i + 50] END)), recursive := true) FROM d
 ), f AS (SELECT g, min(doc_id) AS first FROM w WHERE g IS NOT NULL GROUP BY g
 ), m AS (SELECT w.doc_id, w.i, w.b, max(CASE WHEN first < w.doc_id THEN w.i END) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS s FROM w LEFT JOIN f ON w.g = f.g
 ), r AS (SELECT *, coalesce(s > i - 50, false) AS gone FROM m
 ), x AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM r
 ), o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM x GROUP BY doc_id)
-SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+SELECT d.doc_id, octet_length(h) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
 """
 
 _OP9 = r"""

@@ -48,7 +48,7 @@ def _repeats() -> str:
 def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """Statistics of every whole text, one narrow pass."""
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(stratum).cast("string"), F.lit("?")).alias("stratum"))
-    blank = r" \t\n\u000B\f\r"
+    blank = r" \t\n\u000B\u000C\r"
     squeezed = f"trim(BOTH '{blank}' FROM t)"
     words = _let(squeezed, "x", rf"IF(x = '', array(), split(x, r'{BLANK}'))")
     counted = _let(words, "w", f"struct(CAST(size(w) AS BIGINT) AS n_words, {_repeats()} AS n_repeat_words)")
