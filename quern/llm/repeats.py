@@ -32,7 +32,7 @@ from .shared import ragged, text_bytes
 
 GRAM = 20
 HOT = 20_000
-INDEXED = 16_000  # texts in one index
+INDEXED = 4_000  # texts in one index
 NO_ID = -(1 << 63)
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 COLD, SEEN, MANY, FLOOD = range(4)
@@ -68,21 +68,24 @@ class RunIndex:
         m, width = padded.shape
         self.size, self.length = size, length
         inside = np.arange(width + 1) <= size[:, None]  # the end of a text is a suffix as well
-        # ranks of eight bytes, then of twice as many at a time; ``half`` ranks exactly ``length`` bytes
+        # ranks of eight bytes, then of twice as many at a time
         first = np.zeros((m, width + 9), np.uint8)
         first[:, :width] = padded
         eight = np.ndarray((m, width + 1), ">u8", first.data, strides=(width + 9, 1)).astype(np.uint64)
-        block, rank, half = 8, _ranks(eight), None
-        while True:
-            rank[~inside] = 0
-            if block <= length <= 2 * block:
-                half = _ranks(rank, _ahead(rank, length - block))
-            if block >= width + 1:
-                break
+        block, rank = 8, _ranks(eight)
+        rank[~inside] = 0
+        part, shared = (rank, 8) if length >= 8 else (None, 0)  # the longest ranks that ``length`` bytes cover
+        while block * 2 < width + 1:
             rank = _ranks(rank, _ahead(rank, block))
+            rank[~inside] = 0
             block *= 2
+            if block <= length:
+                part, shared = rank, block
+        # the last doubling sorts; equal suffixes go by text
+        key = (rank * np.int64(int(rank.max()) + 1) + _ahead(rank, block))[inside]
         text, at = np.nonzero(inside)
-        order = np.argsort(rank[inside] * len(text) + np.arange(len(text)))  # equal suffixes go by text
+        bits = len(text).bit_length()
+        order = np.argsort(key << bits | np.arange(len(text))) if int(key.max()) < 1 << 62 - bits else np.argsort(key, kind="stable")
         text, at = text[order], at[order]
         before = np.where(at > 0, padded[text, at - 1], 0)
         head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
@@ -95,8 +98,14 @@ class RunIndex:
         self.to[by] = total  # runs in order of their characters follow each other
         # stretches of rows whose suffixes share ``length`` bytes, and the least owner in each
         long = at + length <= size[text]
-        group = half[text, at]
-        cut = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | ~long[1:] | ~long[:-1]])
+        place = text * (width + 1) + at
+        flat, other = part.ravel(), np.zeros(len(text), bool)
+        for ahead in [*range(0, length - shared, shared), length - shared]:  # these blocks cover ``length`` bytes
+            r = flat[np.minimum(place + ahead, len(flat) - 1)]
+            other[1:] |= r[1:] != r[:-1]
+        other[0] = True
+        other[1:] |= ~long[1:] | ~long[:-1]
+        cut = np.flatnonzero(other)
         least, most = np.minimum.reduceat(owner[text], cut), np.maximum.reduceat(owner[text], cut)
         some = long[cut] & (least < most)  # only these can mark anything
         self.stretch, self.past, self.least = np.r_[-1, cut[some]], np.r_[-1, np.r_[cut[1:], len(text)][some]], np.r_[0, least[some]]
