@@ -13,7 +13,7 @@ whole: pre-tokens are independent, and a long pre-token takes linear time and me
 from __future__ import annotations
 
 import base64
-import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -125,13 +125,13 @@ class BytePairs:
                 token = tokens.pop()
                 at -= length[token]
 
-    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             ids: list[int] = []
             for word in self.split.findall(text):
                 ids += self.encode_piece(word.encode())
-            out.append(ids)
+            out.append(array("I", ids).tobytes())
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -150,7 +150,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, encode = codec(path, pattern)
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             ids, off = encode(part.column(1))
             ids = ids.astype("<u4", copy=False)
             each = [ids[off[i] : off[i + 1]] for i in range(part.num_rows)]

@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(vocabulary)
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             flat, off = encode(part.column(1))
             flat, end = flat.astype("<u4", copy=False), np.array([end_id], "<u4").tobytes()
             out: list[list] = [[], [], [], [], []]

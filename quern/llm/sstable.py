@@ -125,7 +125,7 @@ class Shard:
         return np.frombuffer(block[j][1], f"<u{self.width}") if j < len(block) and block[j][0] == key else None
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2, width: int = 2, shard_bytes: int = 28 << 20, block_bytes: int = 64 << 10, key: str = "doc_id", text: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2, width: int = 2, shard_bytes: int = 24 << 20, block_bytes: int = 64 << 10, key: str = "doc_id", text: str = "text") -> None:
     """Encode ``text`` and write shards ordered by ``key`` to ``path``; a shard holds about ``shard_bytes`` of text."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -134,7 +134,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
         encode = library_encoder(vocabulary)
 
         def encoded():
-            for part in slices(batches, "text", 8 << 20):
+            for part in slices(batches, "text", 4 << 20):
                 ids, off = encode(part.column(1))
                 if len(ids) and width < 4 and ids.max() >= 1 << 8 * width:
                     raise ValueError("token ids need a larger width")

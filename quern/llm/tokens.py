@@ -24,23 +24,23 @@ STARTS, ENDS = rf"^[{SPACE}]|^\z", rf"[{SPACE}]\z|^\z"
 
 
 class PieceEncoder:
-    """Encodes string columns through ``encode_many`` with a memory of at most ``room`` pieces."""
+    """Encodes string columns through ``encode_many`` (texts to ids, as unsigned 32-bit bytes) with a memory of at most ``room`` pieces."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], room: int = 1_000_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], room: int = 600_000):
         self.encode_many, self.room, self.known = encode_many, room, {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > self.room:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
-        extra = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, ids in zip(part, self.encode_many(part)):
-                (known if len(p) < 200 else extra)[p] = array("I", ids).tobytes()
-        return [known[p] if p in known else extra[p] for p in pieces]
+        out = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            new = list(dict.fromkeys(pieces[i] for i in missing))
+            if len(self.known) + len(new) > self.room:
+                self.known.clear()
+            found = dict(zip(new, self.encode_many(new)))
+            for i in missing:
+                out[i] = found[pieces[i]]
+            self.known.update(found if max(map(len, new)) < 200 else {p: x for p, x in found.items() if len(p) < 200})
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one uint32 array, and where each text's ids start (and the last end)."""
@@ -59,7 +59,7 @@ class PieceEncoder:
         first = off[:-1]
         bad[first] = False
         whole = np.add.reduceat(bad, first).astype(bool)
-        pieces = [" " + w for w in words.to_pylist()]
+        pieces = pc.binary_join_element_wise("", words, " ").to_pylist()
         heads = words.take(pa.array(codes[first])).to_pylist()
         for i in np.flatnonzero(whole):
             heads[i] = texts[int(i)].as_py()
@@ -76,12 +76,51 @@ class PieceEncoder:
         return flat[ragged(begin[codes], length[codes])], np.concatenate([[0], np.cumsum(counts)])
 
 
+def _joins(piece: str) -> bool:
+    """Whether a piece may stand between others of this kind: one space, then neither end is white space."""
+    return len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace()
+
+
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """The tokenizers library's encoder for the vocabulary file at ``path``, without special tokens."""
+    """The tokenizers library's encoder for the byte-level vocabulary file at ``path``, without special tokens.
+
+    Pieces that may follow each other go to the library some hundreds at a time, laid end to end; the bytes that ids stand for
+    tell where each piece's ids end.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return PieceEncoder(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    size = np.zeros(tok.get_vocab_size(), np.int64)
+    for token, i in tok.get_vocab().items():
+        size[i] = len(token)  # one character for each byte
+
+    def plain(texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        joined = [i for i, t in enumerate(texts) if _joins(t)]
+        alone = sorted(set(range(len(texts))) - set(joined)) if len(joined) < len(texts) else []
+        for at in range(0, len(joined), 300):
+            part = joined[at : at + 300]
+            group = [texts[i] for i in part]
+            ids = np.array(tok.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            reach = np.cumsum(size[ids])
+            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in group])
+            cut = np.searchsorted(reach, ends) + 1
+            if not len(reach) or reach[-1] != ends[-1] or (reach[cut - 1] != ends).any():
+                alone += part  # no such case is known
+                continue
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(part, (4 * cut).tolist()):
+                out[i], a = raw[a:b], b
+        for at in range(0, len(alone), 1000):
+            part = alone[at : at + 1000]
+            for i, x in zip(part, plain([texts[i] for i in part])):
+                out[i] = x
+        return out
+
+    return PieceEncoder(many)
