@@ -5,8 +5,9 @@ applied after a shift of 1, 2, 3 ... places along the ring; coordinate k is the
 coordinates give buckets. Links are confirmed on full shingle sets.
 
 No link is lost to hot buckets, and no bucket emits all its pairs. Documents with equal sets are one class. Each class is
-first verified against the hub (least class) it shares most bands with; then, in each bucket that still holds several
-components, its classes outside the largest component are paired with the bucket's classes in other components. With 30
+first verified against the hub (least class) it shares most bands with. In each bucket that still holds several components, the
+classes outside the largest are tested against one member of the largest, some rounds long with other members; what then is
+still outside is compared with all the bucket's classes in other components, by sketches first and then on full sets. With 30
 bands of 5 a pair at the threshold of 0.8 shares no bucket with probability 7e-6.
 
 Null text, empty text, no words: an empty set, a component of its own. Fewer words than the width: the whole sequence is one
@@ -118,7 +119,52 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
         labels = written(labels.join(hooks, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
 
 
-def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def links_within(mixed: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links a < b of one bucket between different components, one end being outside the bucket's largest.
+
+    A sketch holds the low bytes of coordinates; a pair is ruled out where its agreement lies more than 4.3 standard deviations
+    below that of a pair at the threshold; the others are confirmed on full sets. Buckets are compared in blocks of about
+    ``block`` shingles, within numpy, so only links become rows. A pair that shares several buckets comes from the first.
+    """
+    sizes = mixed.groupBy("band").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    cut = mixed.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, n, root, own = (table.column(c).to_numpy() for c in ("node", "n", "root", "own"))
+        band, i, j, main = (table.column(c)[0].as_py() for c in ("band", "i", "j", "main"))
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        lists = table.column("shingles").combine_chunks()
+        value, off = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        off = off - off[0]
+        width, t = sketch.shape[1], percent / 100
+        least = width * (t - 4.3 * np.sqrt(t * (1 - t) / width))
+        out_a, out_b = [], []
+        left = np.flatnonzero((own == i) & (root != main)) if i == j else np.flatnonzero(root != main)
+        for x in left:
+            with_ = np.flatnonzero((root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((root == main) | (node > node[x])) & (True if i == j else own != own[x]))
+            if len(with_):
+                with_ = with_[(sketch[with_] == sketch[x]).sum(1) >= least]
+            if len(with_):
+                same = keys[with_] == keys[x]
+                with_ = with_[keys[x][same.argmax(1)] == band]
+            if len(with_):
+                own_set, theirs = np.sort(value[off[x] : off[x + 1]]), value[ragged(off[with_], n[with_])]
+                at = np.minimum(np.searchsorted(own_set, theirs), len(own_set) - 1)
+                common = np.add.reduceat((own_set[at] == theirs).astype(np.int64), np.cumsum(n[with_]) - n[with_])
+                with_ = with_[100 * common >= percent * (n[x] + n[with_] - common)]
+                out_a.append(np.full(len(with_), node[x]))
+                out_b.append(node[with_])
+        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    # a pair may be outside the largest component in two ways in different buckets, so it may still come twice
+    return cut.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, rounds: int = 2, sketch: int = 300, block: int = 2_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each document."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -127,21 +173,23 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
 
         for part in slices(batches, "text", 1 << 20):
             h, off = shingles(part.column(1), width)
-            keys = band_keys(signatures(h, off, bands * rows), bands, rows)
+            coordinates = signatures(h, off, max(sketch, bands * rows))
+            keys = band_keys(coordinates[:, : bands * rows], bands, rows)
+            sketches = [x.tobytes() for x in coordinates[:, :sketch].astype(np.uint8)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             whole = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(off, off[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(whole, pa.binary()), lists], ["doc_id", "n", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(whole, pa.binary()), lists, pa.array(sketches, pa.binary())], ["doc_id", "n", "content", "bands", "sketch"])
 
-    signed = written(source.mapInArrow(sign, "doc_id long, n long, content binary, bands array<long>"))
-    classes = signed.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = written(source.mapInArrow(sign, "doc_id long, n long, content binary, bands array<long>, sketch binary"))
+    classes = signed.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
 
     members = classes.select("node", "n", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
     members = written(members.join(buckets.select("band", "hub"), "band"))
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # what sizes alone allow
-    sizes = classes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
-    star = members.where("node <> hub").groupBy("node", "hub", "n").agg(F.count("*").alias("common")).join(sizes, "hub").where(near)
+    hubs = classes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
+    star = members.where("node <> hub").groupBy("node", "hub", "n").agg(F.count("*").alias("common")).join(hubs, "hub").where(near)
     first = written(star.groupBy("node").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("b")).withColumnRenamed("node", "a"))
 
     # sets of the classes that share a bucket, made anew from their texts
@@ -165,18 +213,28 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("s"))
         return both.where(f"100 * i >= {percent} * (s - i)").select("a", "b")
 
-    edges = written(verified(first.select("a", "b")))
-    roots = written(components(classes.select("node"), edges))
-    placed = members.join(roots, "node").select("band", "node", "n", "root")
-    shares = placed.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main")).where("roots > 1").select("band", "main")
-    mixed = written(placed.join(shares, "band"))
-    left = mixed.where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), "n")
-    right = mixed.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"))
-    cross = left.join(right, "band").where("ra <> rb").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(cross.join(done, ["a", "b"], "left_anti")))
-    if not more.isEmpty():
-        roots = written(components(classes.select("node"), edges.unionByName(more)))
+    nodes = classes.select("node")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tested, edges = first.select(*ordered), verified(first.select("a", "b"))
+    edges = written(edges)
+    roots = components(nodes, edges)
+    for turn in range(rounds + 1):
+        placed = members.join(roots, "node").select("band", "node", "n", "root")
+        # the largest component of each bucket that holds several
+        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"))
+        mixed = written(placed.join(sizes.where("roots > 1").select("band", "main"), "band"))
+        rest = mixed.where("root <> main").select("band", F.col("node").alias("a"), "n")
+        if turn < rounds:  # one member of the main component for each bucket, another one each time
+            some = mixed.where("root = main").groupBy("band").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "band", F.lit(turn))).alias("x"))
+            others = some.select("band", F.col("x.node").alias("b"), F.col("x.n").alias("m"))
+            pairs = written(rest.join(others, "band").where(near).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
+            tested, found = tested.unionByName(pairs), verified(pairs)
+        else:
+            found = links_within(mixed.join(classes.select("node", "bands", "sketch"), "node").join(full, "node"), percent, block)
+        found = written(found)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            roots = components(nodes, edges)
 
     by_root = classes.join(roots, "node")
     least = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
