@@ -82,17 +82,24 @@ def sweep(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, i
                         leave(size - use * length, opened, n)
                         opened += n
                 break
+            # a narrowed gap that still takes the length is the successor again, so each gap is filled before the next
             width = widths[at]
             first, n = gaps[width].pop()
-            take = min(left, n)
-            if take < n:
-                gaps[width].append((first + take, n - take))
+            each = width // length
+            full, rest = divmod(left, each)
+            full = min(full, n)
+            for take, use in ((full, each), (1, rest if full < n else 0)):
+                if take and use:
+                    for k in range(use):
+                        slots.append((length, rank, take, first, size - width + k * length))
+                        rank, left = rank + take, left - take
+                    leave(width - use * length, first, take)
+                    first, n = first + take, n - take
+            if n:
+                gaps[width].append((first, n))
             elif not gaps[width]:
                 del gaps[width]
-                widths.pop(at)
-            slots.append((length, rank, take, first, size - width))
-            rank, left = rank + take, left - take
-            leave(width - length, first, take)
+                widths.remove(width)
     return slots
 
 

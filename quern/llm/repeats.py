@@ -345,12 +345,12 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
     half = "shiftright(s.lo + s.hi, 1)"
     step = f"IF(s.lo >= s.hi, s, IF(get(bounds, {half}) <= __id, struct({half} + 1 AS lo, s.hi AS hi), struct(s.lo AS lo, {half} AS hi)))"
     number = f"transform(array({bounds}), bounds -> aggregate(sequence(1, {steps}), struct(0 AS lo, {len(cuts)} AS hi), (s, i) -> {step}, s -> s.lo))[0]"
-    base = named.withColumn("chunk", F.expr(number))
+    base = named.withColumn("__chunk", F.expr(number))
     # every pass reads the same exchange of the documents, by chunk
-    spread = base.repartition(chunks, "chunk")
+    spread = base.repartition(chunks, "__chunk")
 
     def send(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
+        chunk = table.column("__chunk")[0].as_py()
         c = Chunk(table, text, length, buckets)
         sent = c.nth < hot
         part, data = [], []
@@ -372,7 +372,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows({"part": [], "chunk": [], "data": []}, _PASS)
-        chunk = left.column("chunk")[0].as_py()
+        chunk = left.column("__chunk")[0].as_py()
         c = Chunk(left, text, length, buckets)
         said = np.full(len(c.e_gram), FLOOD, np.uint8)
         edges = np.searchsorted(c.e_bucket, np.arange(buckets + 1))
@@ -460,13 +460,13 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
                 at = int(off[i] + b[j])
             kept.append(b"".join(pieces) + raw[at : off[i + 1]] if pieces else raw[off[i] : off[i + 1]])
             spans.append(own)
-        return finish(table.drop_columns(["__id", "chunk"]), kept, spans)
+        return finish(table.drop_columns(["__id", "__chunk"]), kept, spans)
 
-    entries = spread.groupBy("chunk").applyInArrow(send, PASS)
+    entries = spread.groupBy("__chunk").applyInArrow(send, PASS)
     answers = entries.groupBy("part").applyInArrow(answer, PASS)
-    found = spread.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, PASS)
+    found = spread.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(collect, PASS)
     spans = found.groupBy("part").applyInArrow(match, PASS)
-    return spread.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, schema)
+    return spread.groupBy("__chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def digests(docs: DataFrame, *, length: int = 50, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
