@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ragged, slices, written
+from .shared import ragged, release_caches, slices, small_batches, written
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -166,11 +166,13 @@ def links_within(mixed: DataFrame, percent: int, block: int) -> DataFrame:
 
 def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, rounds: int = 2, sketch: int = 300, block: int = 2_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each document."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_caches()
         for part in slices(batches, "text", 1 << 20):
             h, off = shingles(part.column(1), width)
             coordinates = signatures(h, off, max(sketch, bands * rows))
@@ -198,6 +200,7 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_caches()
         for part in slices(batches, "text", 1 << 20):
             h, off = shingles(part.column(1), width)
             content = part.column(2).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, written
+from .shared import slices, small_batches, written
 from .tokens import library_encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -30,6 +30,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenise and cut: only documents longer than ``size`` are cut, and only their first piece may be shorter."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

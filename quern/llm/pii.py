@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import release_caches, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, REACH = 64, 32, 24
@@ -337,10 +337,12 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def detected(docs: DataFrame, *, key: str = "doc_id", text: str = "text", steps: int = 300) -> DataFrame:
     """doc_id, counts of base spans, their digest, and all spans, of every whole text."""
+    small_batches(docs.sparkSession)
     tagger = trained(steps)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for part in slices(batches, "text", 8 << 20):
             cols: list[list] = [[] for _ in range(6)]
             for base, spans in find(part.column(1).to_pylist(), tagger):
@@ -355,10 +357,12 @@ def detected(docs: DataFrame, *, key: str = "doc_id", text: str = "text", steps:
 
 def redacted(docs: DataFrame, *, text: str = "text", steps: int = 300) -> DataFrame:
     """``docs`` with every span of ``text`` masked; null texts stay null, all other columns as they are."""
+    small_batches(docs.sparkSession)
     tagger = trained(steps)
 
     @F.pandas_udf("string")
     def mask(column: pd.Series) -> pd.Series:
+        release_caches()
         texts = ["" if t is None else t for t in column]
         out = [masked(t, spans) for t, (_, spans) in zip(texts, find(texts, tagger))]
         return pd.Series([None if t is None else o for t, o in zip(column, out)], dtype=object)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ragged, text_bytes
+from .shared import ragged, release_caches, small_batches, text_bytes
 
 GRAM = 20
 HOT = 20_000
@@ -334,6 +334,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
     """Apply ``finish`` to each chunk: its rows, the bytes they keep, and the spans they lose. ``schema``: of what it returns."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
+    small_batches(docs.sparkSession)
     named = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -350,6 +351,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
     spread = base.repartition(chunks, "__chunk")
 
     def send(table: pa.Table) -> pa.Table:
+        release_caches()
         chunk = table.column("__chunk")[0].as_py()
         c = Chunk(table, text, length, buckets)
         sent = c.nth < hot

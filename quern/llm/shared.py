@@ -1,17 +1,20 @@
-"""What the operators share: the cluster's shared folder, written tables, and bounded Arrow slices."""
+"""What the operators share: the cluster's shared folder, written tables, bounded Arrow batches and worker memory."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_caches: list[Callable[[], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +46,32 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Let Arrow batches to Python workers hold at most about ``limit`` bytes, unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = spark.conf.get(name).lower().removesuffix("b")
+    if not set_to.isdigit() or not 0 < int(set_to) <= limit:
+        spark.conf.set(name, str(limit))
+
+
+def cached_until_release(drop: Callable[[], None]) -> None:
+    """Say how to empty a cache that a Python worker keeps between its tasks."""
+    _caches.append(drop)
+
+
+def release_caches() -> None:
+    """Empty what other operators cached in this reused Python worker, and give the memory back."""
+    if not _caches:
+        return
+    while _caches:
+        _caches.pop()()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds at most ``limit`` bytes a slice (one row at least)."""
     for batch in batches:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import ragged
+from .shared import cached_until_release, ragged
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 STARTS, ENDS = rf"^[{SPACE}]|^\z", rf"[{SPACE}]\z|^\z"
@@ -123,4 +123,5 @@ def library_encoder(path: str) -> PieceEncoder:
                 out[i] = x
         return out
 
+    cached_until_release(library_encoder.cache_clear)
     return PieceEncoder(many)
