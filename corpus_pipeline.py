@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: quality rules, near-duplicates, repeated passages, personal data, packing.
 
 Each stage works on all that the one before kept and returns the columns of ``documents``; the last returns pieces of packed
-sequences. Rows that share a doc_id are kept or dropped together; of those the near-duplicate stage leaves one.
+sequences. Verdicts hold for rows: a null or repeated doc_id makes no rows one document.
 """
 
 from __future__ import annotations
@@ -14,21 +14,17 @@ from quern.llm.queries import LIBRARY_VOCABULARY, table
 from quern.llm.shared import written
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` none of whose verdicts (doc_id, kept) is false."""
-    good = verdicts.groupBy(F.col("doc_id").alias("__id")).agg(F.min("kept").alias("__kept")).where("__kept").drop("__kept")
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, rules.judged(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"))
+    return rules.judged(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8; the least doc_id of each group stays."""
-    kept = _only(docs, minhash.groups(docs, width=5, percent=80).select("doc_id", "kept"))
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Five-word shingles, similarity of 0.8; of each group the row with the least doc_id stays (null only if the group has no other)."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that every later read finds the same numbers
+    groups = minhash.groups(rows, width=5, percent=80, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    ranks = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__row").alias("rank"))
+    first = groups.join(ranks, "__row").groupBy("component_id").agg(F.min("rank")["__row"].alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ good documents. Of the certified cutoffs of a rule the one is taken that rejects
 
 Null text: no words, so base_failed. Null language: a stratum of its own. Null quality: no label; repeated labels of a
 document count once, as the lowest. Repeated documents: each row is judged and counted. No labels or an empty table:
-only the base rules hold. Extra columns are ignored.
+only the base rules hold. Extra columns are ignored, unless ``carry`` keeps whole rows.
 """
 
 from __future__ import annotations
@@ -45,19 +45,21 @@ def _repeats() -> str:
     return f"CASE WHEN size(w) < 4 THEN 0L ELSE {_let(f'sort_array({windows})', 's', covered)} END"
 
 
-def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Statistics of every whole text, one narrow pass."""
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(stratum).cast("string"), F.lit("?")).alias("stratum"))
+def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
+    """Statistics of every whole text, one narrow pass; with ``carry``, each row of ``docs`` as it is in column ``row``."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    also = ["row"] if carry else []
+    d = docs.select(*row, F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(stratum).cast("string"), F.lit("?")).alias("stratum"))
     blank = r" \t\n\u000B\u000C\r"
     squeezed = f"trim(BOTH '{blank}' FROM t)"
     words = _let(squeezed, "x", rf"IF(x = '', array(), split(x, r'{BLANK}'))")
     counted = _let(words, "w", f"struct(CAST(size(w) AS BIGINT) AS n_words, {_repeats()} AS n_repeat_words)")
     lines = _let(r"filter(split(t, '\n'), l -> l RLIKE r'[^\x20\x09-\x0D]')", "l", "struct(CAST(size(l) AS BIGINT) AS n_lines, CAST(size(l) - size(array_distinct(l)) AS BIGINT) AS n_dup_lines)")
     without = lambda chars: f"CAST(char_length(t) - char_length(translate(t, '{chars}', '')) AS BIGINT)"
-    d = d.select("doc_id", "stratum", F.expr(counted).alias("c"), F.expr(lines).alias("l"),
+    d = d.select(*also, "doc_id", "stratum", F.expr(counted).alias("c"), F.expr(lines).alias("l"),
                  F.expr(f"CAST(char_length(translate(t, '{blank}', '')) AS BIGINT)").alias("word_chars"),
                  F.expr(without("#*$%&|<>")).alias("n_symbols"), F.expr(without("!")).alias("n_bangs"), F.expr(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_capitals"))
-    d = d.select("doc_id", "stratum", "c.*", "l.*", "word_chars", "n_symbols", "n_bangs", "n_capitals")
+    d = d.select(*also, "doc_id", "stratum", "c.*", "l.*", "word_chars", "n_symbols", "n_bangs", "n_capitals")
     return d.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -91,12 +93,12 @@ def thresholds(table: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delt
     return best.select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Statistics, base_failed, the rules that a document breaks (failed_rules) and kept, one row for each document."""
-    table = written(features(docs, key=key, text=text, stratum=stratum))
+def judged(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
+    """Statistics, base_failed, the rules that a document breaks (failed_rules) and kept, one row for each document; ``carry`` as in features."""
+    table = written(features(docs, key=key, text=text, stratum=stratum, carry=carry))
     cuts = thresholds(table, labels, alpha=alpha, delta=delta, key=key)
     wide = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    out = table.join(wide, "stratum", "left")
+    out = table.join(F.broadcast(wide) if carry else wide, "stratum", "left")  # whole rows aren't shuffled by stratum
     broken = F.array_compact(F.array(*(F.when(_ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))
     out = out.withColumn("failed_rules", broken).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     return out.drop("stratum", *(f"cut_{r}" for r in RULES))

@@ -306,3 +306,17 @@ def test_pipeline_keeps_columns_and_loses_no_token(spark):
         assert docs.columns == columns, name
         assert 0 < docs.count() <= n
     assert c.STAGES[-1][1](spark, docs, SF).agg(F.countDistinct("doc_id")).first()[0] == docs.count()
+
+
+def test_pipeline_judges_rows_whose_ids_are_null_or_repeated(spark):
+    import corpus_pipeline as c
+
+    text = {k: " ".join(random.Random(k).choice(["amber", "birch", "cedar", "delta", "ember", "fjord", "grove"]) + chr(97 + random.Random(f"{k}{i}").randrange(26)) for i in range(80)) for k in "ABCDE"}
+    given = [(None, text["A"]), (None, text["B"]), (None, "too short"), (7, text["C"]), (7, text["D"]), (7, text["D"]), (9, text["A"]), (None, text["E"]), (None, text["E"] + " end"), (7, "short too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    good = c.quality_rules(spark, docs, SF)
+    assert rows(good) == sorted((x for x in given if "short" not in x[1]), key=str)
+    left = rows(c.near_duplicates(spark, good, SF))
+    assert [x for x in left if x[1][:300] != text["E"][:300]] == sorted([(None, text["B"]), (7, text["C"]), (7, text["D"]), (9, text["A"])], key=str)
+    assert len(left) == 5
