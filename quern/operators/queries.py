@@ -65,7 +65,7 @@ CONVERSATION = {
 def conversation_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
     docs = turns.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list("t"))).alias("doc"))
-    return docs.select("conv_id", compile_schema(json.dumps(CONVERSATION)).valid("doc").alias("valid"))
+    return docs.select("conv_id", compile_schema(json.dumps(CONVERSATION)).valid("doc", large=True).alias("valid"))
 
 
 _add("conversation_valid", conversation_valid, """

@@ -15,6 +15,10 @@ from quern.plans.native import VIOLATION, TooLarge, expression, is_native
 from quern.plans.schema import SchemaNode, parse_schema, reachable
 
 
+#: Bytes up to which a text fits the JVM's readers: a VARIANT (at most 3.25 bytes for one of text) holds 128 MiB, a string 20,000,000 characters.
+LARGE = 16_000_000
+
+
 class CompiledSchema:
     """A schema ready for use. ``tier`` is ``native`` (a JVM expression) or ``arrow`` (batches in Python workers)."""
 
@@ -39,23 +43,30 @@ class CompiledSchema:
             self._sql[what] = expression(self.root, "\0", what)
         return self._sql[what].replace("\0", column)
 
-    def _apply(self, what: str, doc: Column | str) -> Column:
+    def _apply(self, what: str, doc: Column | str, large: bool) -> Column:
         doc = F.col(doc) if isinstance(doc, str) else doc
         if self.tier == "native":
-            return _bound(doc, lambda name: self.sql(what, name))
+            native = _bound(doc, lambda name: self.sql(what, name))
+            if not large:
+                return native
+            over = F.octet_length(doc) > LARGE
+            return F.when(over, self._arrow[what](F.when(over, doc))).otherwise(native)  # other rows send NULL to Python
         return self._arrow[what](doc)
 
-    def valid(self, doc: Column | str) -> Column:
-        """Whether the document is valid; never NULL (a NULL document is malformed, so not valid)."""
-        return self._apply("valid", doc)
+    def valid(self, doc: Column | str, *, large: bool = False) -> Column:
+        """Whether the document is valid; never NULL (a NULL document is malformed, so not valid).
+
+        ``large``, here and below: documents of over ``LARGE`` bytes, which a VARIANT may not hold, go to the Arrow tier.
+        """
+        return self._apply("valid", doc, large)
 
-    def error_code(self, doc: Column | str) -> Column:
+    def error_code(self, doc: Column | str, *, large: bool = False) -> Column:
         """0, or the code of the first check that fails, in keyword order."""
-        return self._apply("error_code", doc)
+        return self._apply("error_code", doc, large)
 
-    def violations(self, doc: Column | str) -> Column:
+    def violations(self, doc: Column | str, *, large: bool = False) -> Column:
         """All violations: array of struct(path, keyword, code)."""
-        return self._apply("violations", doc)
+        return self._apply("violations", doc, large)
 
     @cached_property
     def _arrow(self) -> dict:

@@ -35,6 +35,13 @@ def test_query(spark, duck, name):
         assert sorted(str([x[c] for c in columns]) for x in rows) == sorted(str([x[i] for i in at]) for x in r.fetchall())
 
 
+def test_a_conversation_larger_than_a_variant(spark, tmp_path):
+    turns = spark.range(14).selectExpr("id % 2 AS conv_id", "CAST(id AS INT) AS turn", "IF(id % 4 < 2, 'user', 'assistant') AS role", "IF(id % 2 = 0, repeat('a', 20000000), repeat('b', 20)) AS text")
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["conversation_valid"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.valid) for r in got) == [(0, True), (1, True)]
+
+
 def test_native_plan_has_no_python(spark):
     df = QUERIES["properties"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
