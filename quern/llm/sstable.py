@@ -4,8 +4,12 @@ A shard is a run of sections, each followed by one newline byte (Spark's text wr
 through Spark's commit protocol to any file system): data blocks, a sparse index, a Bloom filter and a footer. Keys
 are order-preserving 9-byte forms of doc_id; entries of a block share key prefixes; blocks are compressed with zstd.
 
-Null doc_id: sorts first. Null text: no ids but the end id. Repeated doc_id: all rows are kept, ordered by text. Empty
-table: no shard. Columns besides the two named ones are ignored, whatever their names.
+The footer holds the shard's number, by which readers order shards; rows are range-sorted by doc_id, a hash of the text and the
+text, so even one doc_id with many texts is cut into several shards.
+
+Null doc_id: sorts first. Null text: no ids but the end id. Repeated doc_id: all rows are kept, ordered by the text's hash, then
+the text; rows that are alike in both stay in one shard. An added token spelled out in a text gets its own id. Very long texts
+are one entry, in a block of its own. Empty table: no shard. Columns besides the two named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 from .shared import shared_dir, slices, written
 from .tokens import library_encoder
 
-FOOTER, ENTRY, MAGIC = struct.Struct("<QIQIIQB8s"), struct.Struct("<9sQII"), b"QSSTBL01"
+FOOTER, ENTRY, MAGIC = struct.Struct("<QIQIIQBI8s"), struct.Struct("<9sQII"), b"QSSTBL02"
 BITS_PER_KEY, PROBES = 10, 7
+SHARD_BLOCK = 4_096  # shards whose sizes are summed in one window
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -40,8 +45,8 @@ def _probes(key: bytes, bits: int) -> Iterator[int]:
     return ((a + i * b) % bits for i in range(PROBES))
 
 
-def sections(rows: Iterator[tuple[int | None, bytes]], width: int, block_bytes: int) -> Iterator[bytes]:
-    """The sections of one shard from (doc_id, ids as little-endian ``width``-byte integers) in ascending order."""
+def sections(rows: Iterator[tuple[int | None, bytes]], width: int, block_bytes: int, number: int = 0) -> Iterator[bytes]:
+    """The sections of shard ``number`` from (doc_id, ids as little-endian ``width``-byte integers) in ascending order."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -78,14 +83,14 @@ def sections(rows: Iterator[tuple[int | None, bytes]], width: int, block_bytes:
         for p in _probes(key, len(bloom) * 8):
             bloom[p >> 3] |= 1 << (p & 7)
     yield bloom.tobytes()
-    yield FOOTER.pack(index_at, len(sparse), at, len(bloom), docs, tokens, width, MAGIC)
+    yield FOOTER.pack(index_at, len(sparse), at, len(bloom), docs, tokens, width, number, MAGIC)
 
 
 class Shard:
     """Reads the bytes of one shard."""
 
     def __init__(self, data: bytes):
-        *places, self.docs, self.tokens, self.width, magic = FOOTER.unpack(data[-FOOTER.size - 1 : -1])
+        *places, self.docs, self.tokens, self.width, self.number, magic = FOOTER.unpack(data[-FOOTER.size - 1 : -1])
         if magic != MAGIC:
             raise ValueError("not a shard")
         self.data = memoryview(data)
@@ -131,7 +136,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(vocabulary)
+        from pyspark import TaskContext
+
+        encode, number = library_encoder(vocabulary), TaskContext.get().partitionId()
 
         def encoded():
             for part in slices(batches, "text", 4 << 20):
@@ -142,10 +149,11 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
                 for i, doc_id in enumerate(part.column(0).to_pylist()):
                     yield doc_id, ids[off[i] : off[i + 1]].tobytes() + end
 
-        for section in sections(encoded(), width, block_bytes):
+        for section in sections(encoded(), width, block_bytes, number):
             yield pa.RecordBatch.from_arrays([pa.array([section], pa.binary())], ["section"])
 
-    ordered = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     (ordered.mapInArrow(shard, "section binary").select(F.col("section").cast("string").alias("value"))
      .write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path))
 
@@ -155,20 +163,21 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1)):
+            for data in batch.column(0):
                 if not (raw := data.as_py()):
                     continue
+                shard = Shard(raw)
                 ids, starts, sizes, crcs, at = [], [], [], [], 0
-                for doc_id, tokens in Shard(raw):
+                for doc_id, tokens in shard:
                     ids.append(doc_id)
                     starts.append(at)
                     sizes.append(len(tokens))
                     crcs.append(zlib.crc32(tokens.astype("<u4").tobytes()))
                     at += len(tokens)
-                yield pa.RecordBatch.from_pydict({"shard": [name.as_py()] * len(ids), "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard.number] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(read, "shard string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(read, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
@@ -177,7 +186,10 @@ def token_table(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     path = shared_dir(spark)
     write_shards(docs, path, vocabulary, **options)
     found = written(read_shards(spark, path))
-    # one row for each shard, whose names ascend with their keys
-    shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    # one row for each shard; sums over blocks of shards first, so that no task orders all of them
+    shards = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.expr(f"shard div {SHARD_BLOCK}"))
+    blocks = shards.groupBy("block").agg(F.sum("n").alias("m"))
+    ahead = blocks.select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("ahead"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    before = shards.withColumn("within", within).join(ahead, "block").select("shard", (F.col("ahead") + F.col("within")).alias("before"))
     return found.join(before, "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -2,8 +2,8 @@
 
 A cut before a space is safe unless white space stands on both sides of that space: every alternative of the
 pattern ends before white space that follows something else, and a single space joins only what follows it. Texts
-in which some space has white space on both sides are encoded in one go instead, so results are always those of
-encoding the whole text.
+in which some space has white space on both sides, and texts that spell out an added token (which the library cuts out before
+the pattern is applied), are encoded in one go instead, so results are always those of encoding the whole text.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ STARTS, ENDS = rf"^[{SPACE}]|^\z", rf"[{SPACE}]\z|^\z"
 
 
 class PieceEncoder:
-    """Encodes string columns through ``encode_many`` (texts to ids, as unsigned 32-bit bytes) with a memory of at most ``room`` pieces."""
+    """Encodes string columns through ``encode_many`` (texts to ids, as unsigned 32-bit bytes) with a memory of at most ``room`` pieces.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], room: int = 600_000):
-        self.encode_many, self.room, self.known = encode_many, room, {}
+    ``literals``: strings that are matched before the pattern; texts that hold one are encoded in one go.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], room: int = 600_000, literals: list[str] | None = None):
+        self.encode_many, self.room, self.known, self.literals = encode_many, room, {}, literals or []
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         out = list(map(self.known.get, pieces))
@@ -47,7 +50,8 @@ class PieceEncoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        lists = pc.split_pattern(texts.fill_null(""), " ")
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(texts, " ")
         off = lists.offsets.to_numpy().astype(np.int64)
         off -= off[0]
         coded = lists.flatten().dictionary_encode()
@@ -59,6 +63,8 @@ class PieceEncoder:
         first = off[:-1]
         bad[first] = False
         whole = np.add.reduceat(bad, first).astype(bool)
+        for literal in self.literals:
+            whole |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
         pieces = pc.binary_join_element_wise("", words, " ").to_pylist()
         heads = words.take(pa.array(codes[first])).to_pylist()
         for i in np.flatnonzero(whole):
@@ -83,8 +89,9 @@ def _joins(piece: str) -> bool:
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """The tokenizers library's encoder for the byte-level vocabulary file at ``path``, without special tokens.
+    """The tokenizers library's encoder for the byte-level vocabulary file at ``path``, as with ``add_special_tokens=False``.
 
+    Nothing is added to a text; an added token that a text spells out gets its own id, as the library's default is.
     Pieces that may follow each other go to the library some hundreds at a time, laid end to end; the bytes that ids stand for
     tell where each piece's ids end.
     """
@@ -92,7 +99,7 @@ def library_encoder(path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    literals = [t.content for t in tok.get_added_tokens_decoder().values()]
     size = np.zeros(tok.get_vocab_size(), np.int64)
     for token, i in tok.get_vocab().items():
         size[i] = len(token)  # one character for each byte
@@ -102,7 +109,7 @@ def library_encoder(path: str) -> PieceEncoder:
 
     def many(texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        joined = [i for i, t in enumerate(texts) if _joins(t)]
+        joined = [i for i, t in enumerate(texts) if _joins(t) and not any(x in t for x in literals)]
         alone = sorted(set(range(len(texts))) - set(joined)) if len(joined) < len(texts) else []
         for at in range(0, len(joined), 300):
             part = joined[at : at + 300]
@@ -124,4 +131,4 @@ def library_encoder(path: str) -> PieceEncoder:
         return out
 
     cached_until_release(library_encoder.cache_clear)
-    return PieceEncoder(many)
+    return PieceEncoder(many, literals=literals)
