@@ -171,18 +171,58 @@ def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(RANKS, P.PATTERN)[0].ranks, special_tokens={})
 
 
-def test_token_shards(spark, edge, tiktoken_encoding):
+LITERALS = [(20, "see <|endoftext|> here"), (21, "see<|endoftext|>here  <|endoftext|>"), (22, "a\n <|endoftext|>\n b <|endoftext"), (23, " <|endoftext|>"), (6, "another text of id six"), (None, "and another without id")]
+
+
+@pytest.fixture(scope="module")
+def spelled(spark, edge):
+    return edge.unionByName(spark.createDataFrame([(i, t, "en", 0, "c", "r") for i, t in LITERALS], SCHEMA))
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(LIBRARY_VOCABULARY)
+    return lambda text: tok.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_shards(spark, edge, spelled, library):
+    import xxhash
+
+    order = lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64), r[1] or "")
     want, at = [], 0
-    for d, t in sorted(EDGE, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = tiktoken_encoding.encode_ordinary(t or "") + [2]
-        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for d, t in sorted(EDGE + LITERALS, key=order):
+        ids = library(t) + [2]
+        want.append((d, at, len(ids), crc(ids)))
         at += len(ids)
     for size in (24 << 20, 2000):
-        got = sstable.token_table(edge, LIBRARY_VOCABULARY, shard_bytes=size, block_bytes=500).collect()
+        got = sstable.token_table(spelled, LIBRARY_VOCABULARY, shard_bytes=size, block_bytes=500).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sstable.token_table(edge.limit(0), LIBRARY_VOCABULARY).count() == 0
 
 
+def test_one_id_is_cut_into_several_shards_in_order_of_their_numbers(spark, library, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BLOCK", 3)
+    rows = [(None if i % 2 else 5, f"text {i} " * 30) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sstable.token_table(df, LIBRARY_VOCABULARY, shard_bytes=3000).collect()
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(library(t)) + 1, crc(library(t) + [2])) for _, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and (r.doc_id is None) == (r.start < sum(x.n_tokens for x in got if x.doc_id is None))
+        at += r.n_tokens
+
+
+def test_shard_numbers_pass_the_width_of_file_names():
+    data = [b"".join(x + b"\n" for x in sstable.sections(iter([(i, b"\1\0")]), 2, 100, i)) for i in (99_999, 100_000)]
+    assert [sstable.Shard(d).number for d in data] == [99_999, 100_000]
+
+
 def test_shard_lookup():
     rows = [(i * 3 - 50, np.arange(i % 7, dtype="<u2").tobytes()) for i in range(500)]
     shard = sstable.Shard(b"".join(s + b"\n" for s in sstable.sections(iter(rows), 2, 200)))
@@ -213,9 +253,31 @@ def test_jpeg_round_trip(seed):
         assert coef.astype(np.uint8).tobytes()[a * 64 : a * 64 + h["size"]] == p.tobytes()
 
 
-def test_packing(spark, edge, tiktoken_encoding):
-    rows = packing.packed_documents(edge, LIBRARY_VOCABULARY, size=100).collect()
-    assert sum(r.length for r in rows) == sum(len(tiktoken_encoding.encode_ordinary(t or "")) + 1 for _, t in EDGE)
+def cut(rows, library, size):
+    """Every piece that packing must make."""
+    out = []
+    for d, t in rows:
+        ids = library(t) + [0]
+        at, k = 0, 0
+        while at < len(ids):
+            n = (len(ids) - at) % size or size
+            out.append((d, k, at, n, crc(ids[at : at + n])))
+            at, k = at + n, k + 1
+    return out
+
+
+def best_fit_decreasing(lengths, size):
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else size) - n)
+    return gaps
+
+
+def packed(rows, size):
+    """Places are gapless from 0 and within ``size``; the number of sequences."""
     by: dict = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -224,25 +286,44 @@ def test_packing(spark, edge, tiktoken_encoding):
         for offset, length in sorted(places):
             assert offset == at
             at += length
-        assert at <= 100
+        assert at <= size
+    return len(by)
+
+
+@pytest.mark.parametrize("size", [100, 2048])
+def test_packing(spark, edge, spelled, library, size):
+    many = [(1000 + i, "word " * rng.choice([1, 3, 3, 17, 40, 60, 61, 300])) for i in range(150)]
+    rows = EDGE + LITERALS + many
+    docs = spelled.unionByName(spark.createDataFrame([(i, t, "en", 0, "c", "r") for i, t in many], SCHEMA))
+    got = packing.packed_documents(docs, LIBRARY_VOCABULARY, size=size).collect()
+    want = cut(rows, library, size)
+    assert sorted(str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in got) == sorted(map(str, want))
+    assert packed(got, size) == len(best_fit_decreasing([w[3] for w in want], size))
     assert packing.packed_documents(edge.limit(0), LIBRARY_VOCABULARY).count() == 0
 
 
+def test_supersteps_over_many_partitions_pack_like_one_sweep(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lengths = [rng.choice([7, 7, 7, rng.randint(1, 60), rng.randint(1, 20)]) for _ in range(3000)]
+        rows = [(None if i % 3 else i, 0, 0, n, n) for i, n in enumerate(lengths)]
+        got = packing.pack(spark.createDataFrame(rows, packing.PIECE).repartition(7), size=60).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.length for r in got) == sorted(lengths)
+    assert packed(got, 60) == len(best_fit_decreasing(lengths, 60))
+
+
 def test_sweep_is_best_fit_decreasing():
     for _ in range(200):
         size = rng.randint(5, 60)
-        lengths = sorted((rng.randint(1, size) for _ in range(rng.randint(1, 80))), reverse=True)
-        gaps: list[int] = []
-        for n in lengths:
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                gaps.remove(min(fit))
-            gaps.append((min(fit) if fit else size) - n)
-        counts = {n: lengths.count(n) for n in lengths}
-        slots = packing.sweep(counts, size)
-        assert max(first + n for _, _, n, first, _ in slots) == len(gaps)
+        lengths = [rng.randint(1, size) for _ in range(rng.randint(1, 80))]
+        gaps = best_fit_decreasing(lengths, size)
+        slots, opened = packing.sweep({n: lengths.count(n) for n in lengths}, size)
+        assert opened == len(gaps)
         used: dict = {}
-        for length, _, n, first, offset in slots:
+        for before, first, n, length, _, offset in slots:
+            assert before == 0
             for k in range(n):
                 assert used.get(first + k, 0) == offset
                 used[first + k] = offset + length
