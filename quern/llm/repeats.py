@@ -3,19 +3,24 @@
 A byte goes where a window of ``length`` bytes that covers it also starts in a document with a smaller doc_id.
 
 Partitioning. Of the grams inside a window the one with the least hash is its anchor, so equal windows have equal anchors at
-equal places; all windows of one anchor lie in its context, the bytes around it. Documents are read in chunks of ascending
-doc_id. Chunks send sorted hashes of (anchor, context) to buckets; buckets answer, entry by entry: unique; the same context
-came in an earlier chunk; an anchor with several different contexts; or an anchor with more than ``HOT`` contexts.
-Repeats of one whole context collapse to the earliest. Only contexts whose anchor has other contexts too go to the index,
-one copy each; for hot anchors their single windows go there instead, spread by content, so no group is unbounded.
+equal places; all windows of one anchor lie in its context, the bytes around it. Rows are dealt to chunks by a hash of id, text
+and row number, so that no id, null included, and no group of copies fills a chunk. Chunks send sorted hashes of (anchor,
+context), each with the least doc_id that has it, to buckets; buckets answer, entry by entry: no smaller doc_id anywhere has the
+context, and its anchor has no other; a smaller doc_id has it; an anchor with several different contexts; or an anchor with more
+than ``HOT`` contexts. Repeats of one whole context collapse to the least doc_id. Only contexts whose anchor has other contexts
+too go to the index, from their least doc_id; for hot anchors their single windows go there instead, spread by content, so no
+group is unbounded. Whole contexts are taken for equal when 32 bits of the gram's hash, 48 of the context's and the bucket agree:
+at 100 TB (10^13 contexts, 8 million buckets) 5e-6 wrong pairs are to be expected; partial repeats are compared byte by byte.
 
 Index. For the texts of a bucket, in anchor groups: a suffix array by prefix doubling gives the Burrows-Wheeler transform,
-which is kept as runs with the suffix array sampled at run ends, plus the rows at which matching statistics fall below
-``length``. Each text is then streamed backwards through the runs by LF steps; a row inside a stretch of matches of ``length``
-bytes and more, in which the least doc_id is smaller than the text's, marks its window.
-
-Null text: empty. Null doc_id: smaller than any other. Equal doc_ids: none is smaller, so such rows don't affect each other.
-Empty table: no rows. Texts are read whole, as UTF-8. Extra columns stay as they are.
+which is kept as runs, plus the rows at which matching statistics fall below ``length``. Each text is then streamed backwards
+through the runs by LF steps; a row inside a stretch of matches of ``length`` bytes and more, in which the least doc_id is
+smaller than the text's, marks its window. The suffix array is sampled at run ends: where a row is the end of its run, the
+sample must be the text's own place, which checks the walk.
+
+Null text: empty. Null doc_id: smaller than any other. Equal doc_ids: none is smaller, so such rows don't affect each other;
+repeated rows lose the same bytes. Empty table: no rows. Texts are read whole, as UTF-8; a very long text is in one chunk,
+indexed a context at a time. Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -91,7 +96,8 @@ class RunIndex:
         head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.rows, self.head, self.char = len(text), head, before[head]
         run = np.diff(np.r_[head, len(text)])
-        self.sample = np.stack([text, at], 1)[head + run - 1]  # the suffix array at run ends
+        self.last = head + run - 1
+        self.sample = np.stack([text, at], 1)[self.last]  # the suffix array at run ends
         by = np.argsort(self.char, kind="stable")
         total = np.cumsum(run[by]) - run[by]
         self.to = np.empty(len(head), np.int64)  # LF of each run's first row
@@ -115,6 +121,13 @@ class RunIndex:
         run = np.searchsorted(self.head, row, side="right") - 1
         return self.to[run] + row - self.head[run], self.char[run]
 
+    def _walked(self, text: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
+        """The walk must pass the sampled run ends at the places that they name."""
+        run = np.searchsorted(self.last, row)
+        end = np.flatnonzero(self.last[np.minimum(run, len(self.last) - 1)] == row)
+        if (self.sample[run[end]] != np.stack([text[end], at[end]], 1)).any():
+            raise AssertionError("the run-length index is damaged")
+
     def marks(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stream all texts backwards: (text, place) where ``length`` bytes also occur in a text of a smaller owner."""
         text, row, at = np.arange(len(self.size)), np.arange(len(self.size)), self.size.copy()
@@ -122,6 +135,7 @@ class RunIndex:
         while True:
             row, char = self.lf(row)
             go = char > 0
+            self._walked(text[go], row[go], at[go] - 1)
             text, row, at = text[go], row[go], at[go] - 1
             if not len(text):
                 break
@@ -188,14 +202,9 @@ def anchors(flat: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return at, text, gram[at], a, b, context
 
 
-def _sorted_chunk(table: pa.Table, text: str) -> pa.Table:
-    """Rows by doc_id, then text: an order that every pass over a chunk repeats."""
-    ids = table.column("__id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-    if len(same):
-        values = table.column(text).to_pylist()
-        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], values[i] or "")))
+def _sorted_chunk(table: pa.Table) -> pa.Table:
+    """Rows by doc_id, then hash of the row: an order that every pass over a chunk repeats."""
+    order = np.lexsort((table.column("__hash").to_numpy(), table.column("__id").to_numpy()))
     return table.take(pa.array(order)) if len(order) else table
 
 
@@ -203,7 +212,7 @@ class Chunk:
     """The anchors of a chunk's texts and its distinct (bucket, gram, context) entries."""
 
     def __init__(self, table: pa.Table, text: str, length: int, buckets: int):
-        self.table = table = _sorted_chunk(table, text)
+        self.table = table = _sorted_chunk(table)
         self.ids = table.column("__id").to_numpy()
         self.flat, self.off = text_bytes(table.column(text).combine_chunks() if table.num_rows else pa.array([], pa.string()))
         parts, i, n = [], 0, len(self.ids)
@@ -275,29 +284,35 @@ PASS = "part long, chunk int, data binary"
 _PASS = [pa.int64(), pa.int32(), pa.binary()]
 
 
-def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All entries that chunks sent to one bucket: chunk, gram, context, and each entry's number within its chunk."""
-    chunk, gram, context, nth = [], [], [], []
+def _planes(ids: np.ndarray) -> np.ndarray:
+    """Integers as eight byte planes, of which the high ones compress to nothing."""
+    return np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T).reshape(-1, 8)
+
+
+def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All entries that chunks sent to one bucket: chunk, gram, context, least doc_id."""
+    chunk, gram, context, least = [], [], [], []
     for c, data in zip(table.column("chunk").to_pylist(), table.column("data")):
-        delta, low, _ = _unpack(data.as_py(), "<u4", "6u1")
+        delta, low, planes, _ = _unpack(data.as_py(), "<u4", "6u1", "8u1")
         gram.append(np.cumsum(delta, dtype=np.int64))
         low = np.pad(low.reshape(-1, 6), ((0, 0), (0, 2))).reshape(-1).view("<i8")
         context.append(low)
+        least.append(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<i8"))
         chunk.append(np.full(len(delta), c, np.int64))
-        nth.append(np.arange(len(delta)))
-    return tuple(np.concatenate(x) for x in (chunk, gram, context, nth))
+    return tuple(np.concatenate(x) for x in (chunk, gram, context, least))
 
 
-def _judge(chunk: np.ndarray, gram: np.ndarray, context: np.ndarray, hot: int) -> np.ndarray:
+def _judge(gram: np.ndarray, context: np.ndarray, least: np.ndarray, hot: int) -> np.ndarray:
     """The answer to each entry."""
-    order = np.lexsort((chunk, context, gram))
-    g, c = gram[order], context[order]
+    order = np.lexsort((least, context, gram))
+    g, c, d = gram[order], context[order], least[order]
     new_gram = np.r_[True, g[1:] != g[:-1]]
     new = new_gram | np.r_[True, c[1:] != c[:-1]]
-    heads = np.flatnonzero(new_gram)
+    heads, firsts = np.flatnonzero(new_gram), np.flatnonzero(new)
     size = np.diff(np.r_[heads, len(g)])
     kinds = np.add.reduceat(new.astype(np.int64), heads)
-    answer = np.where(new, np.where(np.repeat(kinds > 1, size), MANY, COLD), SEEN)
+    smallest = np.repeat(d[firsts], np.diff(np.r_[firsts, len(g)]))
+    answer = np.where(d == smallest, np.where(np.repeat(kinds > 1, size), MANY, COLD), SEEN)
     answer[np.repeat(size >= hot, size)] = FLOOD
     out = np.empty(len(g), np.uint8)
     out[order] = answer
@@ -331,22 +346,20 @@ Finish = Callable[[pa.Table, list[bytes], list[list[tuple[int, int]]]], pa.Table
 
 
 def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int = 50, chunk_bytes: int = 12 << 20, hot: int = HOT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Apply ``finish`` to each chunk: its rows, the bytes they keep, and the spans they lose. ``schema``: of what it returns."""
+    """Apply ``finish`` to each chunk: its rows, the bytes they keep, and the spans they lose. ``schema``: of what it returns.
+
+    ``docs`` is read several times, so it should be a table or cheap to make anew, and the same each time.
+    """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     small_batches(docs.sparkSession)
-    named = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_bytes))
-    buckets = chunks
-    cuts = [] if chunks == 1 else sorted(set(named.select(F.percentile_approx("__id", [i / chunks for i in range(1, chunks)], max(10_000, 20 * chunks))).first()[0]))
-    steps = len(cuts).bit_length() + 1
-    bounds = f"array({', '.join(f'{c}L' for c in cuts)})" if cuts else "CAST(array() AS array<bigint>)"
-    # number of cuts that are at most __id, by bisection
-    half = "shiftright(s.lo + s.hi, 1)"
-    step = f"IF(s.lo >= s.hi, s, IF(get(bounds, {half}) <= __id, struct({half} + 1 AS lo, s.hi AS hi), struct(s.lo AS lo, {half} AS hi)))"
-    number = f"transform(array({bounds}), bounds -> aggregate(sequence(1, {steps}), struct(0 AS lo, {len(cuts)} AS hi), (s, i) -> {step}, s -> s.lo))[0]"
-    base = named.withColumn("__chunk", F.expr(number))
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # so that no column's name clashes
+    key, text = f"c{names.index(key)}", f"c{names.index(text)}"
+    total = docs.agg(F.sum(F.octet_length(names[int(text[1:])]))).first()[0] or 0
+    chunks = buckets = max(1, -(-total // chunk_bytes))
+    base = plain.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64(key, text))
+    base = base.withColumn("__chunk", F.pmod(F.xxhash64("__hash", F.monotonically_increasing_id()), F.lit(chunks)).cast("int"))
     # every pass reads the same exchange of the documents, by chunk
     spread = base.repartition(chunks, "__chunk")
 
@@ -361,13 +374,13 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
             some = np.flatnonzero(sent[edges[b] : edges[b + 1]]) + edges[b]
             if len(some):
                 part.append(b)
-                data.append(_pack(np.diff(c.e_gram[some], prepend=0).astype("<u4"), _low6(c.e_context[some])))
+                data.append(_pack(np.diff(c.e_gram[some], prepend=0).astype("<u4"), _low6(c.e_context[some]), _planes(c.e_id[some])))
         return _rows({"part": part, "chunk": [chunk] * len(part), "data": data}, _PASS)
 
     def answer(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        chunk, gram, context, _ = _answers(table)
-        said = _judge(chunk, gram, context, hot)
+        chunk, gram, context, least = _answers(table)
+        said = _judge(gram, context, least, hot)
         edges = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
         return _rows({"part": [part] * (len(edges) - 1), "chunk": chunk[edges[:-1]].tolist(), "data": [_pack(said[a:b]) for a, b in zip(edges, edges[1:])]}, _PASS)
 
@@ -448,7 +461,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
         return _rows(rows, _PASS)
 
     def cut(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
-        table = _sorted_chunk(left, text)
+        table = _sorted_chunk(left)
         flat, off = text_bytes(table.column(text).combine_chunks() if table.num_rows else pa.array([], pa.string()))
         got = [_unpack(d.as_py(), "<u4", "<u4", "<u4")[:3] for d in right.column("data")]
         doc, a, b = _merged(*(np.concatenate(x).astype(np.int64) for x in zip(*got))) if got else (np.zeros(0, np.int64),) * 3
@@ -462,7 +475,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
                 at = int(off[i] + b[j])
             kept.append(b"".join(pieces) + raw[at : off[i + 1]] if pieces else raw[off[i] : off[i + 1]])
             spans.append(own)
-        return finish(table.drop_columns(["__id", "__chunk"]), kept, spans)
+        return finish(table.drop_columns(["__id", "__hash", "__chunk"]).rename_columns(names), kept, spans)
 
     entries = spread.groupBy("__chunk").applyInArrow(send, PASS)
     answers = entries.groupBy("part").applyInArrow(answer, PASS)

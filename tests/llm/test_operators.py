@@ -104,6 +104,16 @@ def test_repeated_passages(spark, edge, hot):
     assert repeats.digests(edge.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_many_chunks(spark):
+    shared = [LONG[i * 300 : i * 300 + 120] for i in range(5)]
+    rows = [(None if i % 3 else 7 + i % 2, f"{i}x {rng.choice(shared)} {'y' * (i % 60)} {rng.choice(shared)}") for i in range(90)] + [(None, "same text over and over, longer than fifty bytes " * 3)] * 40
+    df = spark.createDataFrame([(d, t, "a", "b", 1) for d, t in rows], "doc_id long, text string, __id string, c0 string, __chunk int")
+    got = repeats.digests(df, chunk_bytes=1_000).collect()
+    assert sorted(str(tuple(r)) for r in got) == repeated(rows)
+    clean = repeats.cleaned(df, chunk_bytes=1_000)
+    assert clean.columns == df.columns and clean.where("__id = 'a' AND c0 = 'b' AND __chunk = 1").count() == len(rows)
+
+
 def test_run_index_walks_back_through_texts():
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 70))) for _ in range(30)]
     size = np.array(list(map(len, texts)))
