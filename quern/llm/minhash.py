@@ -8,11 +8,16 @@ No link is lost to hot buckets, and no bucket emits all its pairs. Documents wit
 first verified against the hub (least class) it shares most bands with. In each bucket that still holds several components, the
 classes outside the largest are tested against one member of the largest, some rounds long with other members; what then is
 still outside is compared with all the bucket's classes in other components, by sketches first and then on full sets. With 30
-bands of 5 a pair at the threshold of 0.8 shares no bucket with probability 7e-6.
+bands of 5 a pair at the threshold of 0.8 shares no bucket with probability 7e-6; the sketch rules it out with 1e-5, or never
+with ``exact``.
+
+Rows are told apart by their row number, not by doc_id, so null or repeated ids meet nothing but their own row. Rows of equal
+sets and classes of one component are joined by keys that may hold a third of all rows; the few keys that do are broadcast.
 
 Null text, empty text, no words: an empty set, a component of its own. Fewer words than the width: the whole sequence is one
 shingle. Repeated rows: one output row each, linked as equal sets. Null doc_id: judged like any row; it does not count for the
-least doc_id unless the whole group has none. Empty table: no rows. Extra columns are ignored.
+least doc_id unless the whole group has none. Very long texts: read whole, one at a time. Empty table: no rows. Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ragged, release_caches, slices, small_batches, written
+from .shared import joined_by_key, ragged, release_caches, slices, small_batches, written
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -119,21 +124,30 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
         labels = written(labels.join(hooks, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
 
 
-def links_within(mixed: DataFrame, percent: int, block: int) -> DataFrame:
+def links_within(mixed: DataFrame, percent: int, block: int, exact: bool = False) -> DataFrame:
     """Links a < b of one bucket between different components, one end being outside the bucket's largest.
 
     A sketch holds the low bytes of coordinates; a pair is ruled out where its agreement lies more than 4.3 standard deviations
-    below that of a pair at the threshold; the others are confirmed on full sets. Buckets are compared in blocks of about
-    ``block`` shingles, within numpy, so only links become rows. A pair that shares several buckets comes from the first.
+    below that of a pair at the threshold (never, if ``exact``); the others are confirmed on full sets. The classes outside the
+    largest component and those inside are each cut into blocks of about ``block`` shingles. An outside block meets every inside
+    block and every outside block; inside blocks don't meet each other, so where one block holds all that is outside, an inside
+    class is sent once. Blocks are compared within numpy, so only links become rows. A pair that shares several buckets comes
+    from the first.
     """
-    sizes = mixed.groupBy("band").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    cut = mixed.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    out = F.col("root") != F.col("main")
+    blocks = lambda rows: F.ceil(F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0)) / block).cast("int")
+    sizes = mixed.groupBy("band").agg(blocks(out).alias("outer"), blocks(~out).alias("inner"))
+    cut = mixed.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.when(out, F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    within = F.transform(numbers("inner"), lambda j: cell(0, F.col("own"), j))
+    among = F.transform(numbers("outer"), lambda j: cell(1, F.least("own", j), F.greatest("own", j)))
+    met = F.transform(numbers("outer"), lambda i: cell(0, i, F.col("own")))
+    cut = cut.withColumn("cell", F.explode(F.when(out, F.concat(within, among)).otherwise(met))).select("*", "cell.*")
 
     def compare(table: pa.Table) -> pa.Table:
         node, n, root, own = (table.column(c).to_numpy() for c in ("node", "n", "root", "own"))
-        band, i, j, main = (table.column(c)[0].as_py() for c in ("band", "i", "j", "main"))
+        band, kind, i, j, main = (table.column(c)[0].as_py() for c in ("band", "kind", "i", "j", "main"))
         keys = np.array(table.column("bands").to_pylist(), np.int64)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         lists = table.column("shingles").combine_chunks()
@@ -142,10 +156,12 @@ def links_within(mixed: DataFrame, percent: int, block: int) -> DataFrame:
         width, t = sketch.shape[1], percent / 100
         least = width * (t - 4.3 * np.sqrt(t * (1 - t) / width))
         out_a, out_b = [], []
-        left = np.flatnonzero((own == i) & (root != main)) if i == j else np.flatnonzero(root != main)
+        outside = root != main
+        left = np.flatnonzero(outside & ((kind == 0) | (own == i)))
+        right = ~outside if kind == 0 else own == j
         for x in left:
-            with_ = np.flatnonzero((root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((root == main) | (node > node[x])) & (True if i == j else own != own[x]))
-            if len(with_):
+            with_ = np.flatnonzero(right & (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((node > node[x]) | (kind == 0) | (i != j)))
+            if len(with_) and not exact:
                 with_ = with_[(sketch[with_] == sketch[x]).sum(1) >= least]
             if len(with_):
                 same = keys[with_] == keys[x]
@@ -161,13 +177,16 @@ def links_within(mixed: DataFrame, percent: int, block: int) -> DataFrame:
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     # a pair may be outside the largest component in two ways in different buckets, so it may still come twice
-    return cut.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return cut.groupBy("band", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, rounds: int = 2, sketch: int = 300, block: int = 2_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each document."""
+def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, rounds: int = 2, sketch: int = 300, block: int = 2_000_000, exact: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row for each document.
+
+    ``docs`` is read twice, so it should be a table or cheap to make anew, and in the same order each time.
+    """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -180,10 +199,10 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
             sketches = [x.tobytes() for x in coordinates[:, :sketch].astype(np.uint8)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             whole = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(off, off[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(whole, pa.binary()), lists, pa.array(sketches, pa.binary())], ["doc_id", "n", "content", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(off)), pa.array(whole, pa.binary()), lists, pa.array(sketches, pa.binary())], ["doc_id", "row", "n", "content", "bands", "sketch"])
 
-    signed = written(source.mapInArrow(sign, "doc_id long, n long, content binary, bands array<long>, sketch binary"))
-    classes = signed.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    signed = written(source.mapInArrow(sign, "doc_id long, row long, n long, content binary, bands array<long>, sketch binary"))
+    classes = signed.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
 
     members = classes.select("node", "n", F.explode("bands").alias("band"))
@@ -195,7 +214,7 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
     first = written(star.groupBy("node").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("b")).withColumnRenamed("node", "a"))
 
     # sets of the classes that share a bucket, made anew from their texts
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "content", F.col("rep").alias("doc_id"))
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "content", "row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -204,11 +223,12 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
         for part in slices(batches, "text", 1 << 20):
             h, off = shingles(part.column(1), width)
             content = part.column(2).to_pylist()
-            mine = np.array([xxhash.xxh3_128_digest(h[a:b].tobytes()) == c for a, b, c in zip(off, off[1:], content)], bool)
+            if any(xxhash.xxh3_128_digest(h[a:b].tobytes()) != c for a, b, c in zip(off, off[1:], content)):
+                raise ValueError("the documents came in another order when they were read again")
             lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "shingles"]).filter(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "shingles"])
 
-    texts = source.join(wanted.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = source.join(wanted, "row")
     full = written(texts.select("node", "text", "content").mapInArrow(sets, "node long, shingles array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -233,15 +253,17 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
             pairs = written(rest.join(others, "band").where(near).select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"))
             tested, found = tested.unionByName(pairs), verified(pairs)
         else:
-            found = links_within(mixed.join(classes.select("node", "bands", "sketch"), "node").join(full, "node"), percent, block)
+            found = links_within(mixed.join(classes.select("node", "bands", "sketch"), "node").join(full, "node"), percent, block, exact)
         found = written(found)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             roots = components(nodes, edges)
 
-    by_root = classes.join(roots, "node")
-    least = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = by_root.join(least, "root").select("content", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("content")).alias("content")).join(of_class, "content", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_root = written(classes.select("node", "content", "least_id", "copies").join(roots, "node"))
+    total, rows_ = by_root.count(), signed.count()
+    least = by_root.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("classes"))
+    of_class = joined_by_key(by_root.select("root", "content", "copies"), least, "root", "classes", total).drop("root")
+    out = joined_by_key(signed.where("n > 0").select("doc_id", "n", "content"), written(of_class), "content", "copies", rows_).drop("content")
+    out = out.unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

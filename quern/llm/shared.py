@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _caches: list[Callable[[], None]] = []
@@ -46,6 +47,19 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join with ``table``, which has one row a key and its number of ``rows`` in column ``count``.
+
+    Keys with more than a thousandth of all ``total`` rows (so a thousand keys at most) are broadcast, and their rows stay where
+    they are; the others are shuffled.
+    """
+    many = F.col(count) > max(total // 1000, 1000)
+    hot, cold = table.where(many).drop(count), table.where(~many).drop(count)
+    here = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return here.unionByName(rest)
+
+
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Let Arrow batches to Python workers hold at most about ``limit`` bytes, unless the session asks for fewer."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -73,6 +73,17 @@ def test_near_duplicates(spark, edge, width):
     assert minhash.groups(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{"block": 300, "rounds": 0}, {"block": 300, "rounds": 0, "exact": True}, {}])
+def test_near_duplicates_of_many_rows_without_ids(spark, options):
+    r = random.Random(3)
+    seeds = [[f"w{k}x{r.randrange(40)}" for _ in range(60)] for k in range(4)]
+    rows = [(None if i % 3 else i // 90, " ".join(w if r.random() > 0.03 else f"n{r.randrange(9)}" for w in seeds[r.randrange(4)])) for i in range(400)]
+    rows += [(None, ""), (None, None), (3, " ")] * 5 + [(None, "the same words again")] * 30
+    df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], "doc_id long, text string, row int, node int, content string")
+    got = minhash.groups(df, width=2, **options).collect()
+    assert sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in got) == components(rows, 2)
+
+
 def repeated(rows, length=50):
     first = {}
     order = lambda d: -(1 << 63) if d is None else d
