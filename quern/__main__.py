@@ -10,7 +10,7 @@ import argparse
 import sys
 from pathlib import Path
 
-from quern.operators.validate import compile_schema
+from quern.operators.validate import STAGES, compile_schema
 from quern.plans.schema import SchemaError
 
 
@@ -20,7 +20,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-r", "--run", metavar="FILE", nargs="?", const="-")
     p.add_argument("-b", "--base-uri", metavar="URI")
     p.add_argument("-l", "--language", default="spark")
-    p.add_argument("-d", "--debug", metavar="STAGE", action="append", choices=["schema", "ids", "sql"], default=[])
+    p.add_argument("-d", "--debug", metavar="STAGE", action="append", choices=STAGES, default=[])
     p.add_argument("--compat", action="store_true", help="reproduce documented deviations")
     a = p.parse_args(args)
     if a.language != "spark":

@@ -21,28 +21,41 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def parsed(doc: str) -> str:
-    """The VARIANT of a document that is exactly one JSON text, else SQL NULL.
+#: The path of the document in what ``wrapped`` parses.
+FIRST = "$[0]"
 
-    The parser takes trailing content, so the document is parsed as the first of two array elements of which the second is the
-    document's own hash: content that closes the array early can't bring that along.
+
+def wrapped(doc: str) -> str:
+    """The VARIANT of an array of the document and of the document's own hash.
+
+    The parser takes trailing content; content that closes the array early can't bring that hash along.
     """
-    return let(f"try_variant_get(try_parse_json(concat('[', {doc}, ',', xxhash64({doc}), ']')), '$', 'array<variant>')", "p", f"IF(size(p) = 2 AND try_variant_get(p[1], '$', 'bigint') = xxhash64({doc}), p[0], NULL)")
+    return f"try_parse_json(concat('[', {doc}, ',', xxhash64({doc}), ']'))"
 
 
-def tag(v: str) -> str:
-    """The type name of a VARIANT: object, array, string, number, boolean or null."""
-    s = "s_"
-    kinds = f"CASE WHEN {s} = 'STRING' THEN 'string' WHEN {s} LIKE 'OBJECT%' THEN 'object' WHEN {s} LIKE 'ARRAY%' THEN 'array' WHEN {s} = 'BOOLEAN' THEN 'boolean' WHEN {s} = 'VOID' THEN 'null' ELSE 'number' END"
-    return let(f"schema_of_variant({v})", s, kinds)
+def is_whole(parsed: str, doc: str) -> str:
+    """Whether the document that was ``wrapped`` is exactly one JSON text."""
+    return f"coalesce(try_variant_get({parsed}, '$[1]', 'bigint') = xxhash64({doc}), false)"
+
+
+def field(key: str) -> str:
+    """A key as a field of a struct type, and after a dot."""
+    return f"`{key}`"
 
 
-def entries(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'map<string,variant>')"
+#: What the name of a VARIANT's type starts with; numbers have several names.
+TAGS = {"object": "OBJ", "array": "ARR", "string": "STR", "boolean": "BOO", "null": "VOI"}
 
 
-def elements(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'array<variant>')"
+def tag(v: str) -> str:
+    """A short name of a VARIANT's type."""
+    return f"substring(schema_of_variant({v}), 1, 3)"
+
+
+def is_kind(tag_: str, kind: str) -> str:
+    if kind == "number":  # '' is an object or array that is known already
+        return f"{tag_} NOT IN ({', '.join(map(text, [*TAGS.values(), '']))})"
+    return f"{tag_} = '{TAGS[kind]}'"
 
 
 def number(v: str) -> str:
@@ -53,10 +66,6 @@ def string(v: str) -> str:
     return f"try_variant_get({v}, '$', 'string')"
 
 
-def boolean(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'boolean')"
-
-
 def integral(d: str) -> str:
     """Whether a double is a finite whole number."""
     return f"({d} = rint({d}) AND abs({d}) < double('Infinity'))"

@@ -3,38 +3,39 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.validate import compile_schema, error_counts, report, valid_by_key
-from quern.sources.documents import rendered
+from quern.operators.validate import STAGES, compile_schema, error_counts, report, valid_by_key
+from quern.plans.schema import reachable
+from quern.sources.documents import lines, rendered, scratch, whole_files
+from quern.streaming import validate as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _add(name: str, run: Query, sql: str | None) -> None:
-    QUERIES[name] = run
-    if sql:
-        ORACLE_SQL[name] = sql
+def _add(name: str, run: Query, sql: str) -> None:
+    QUERIES[name], ORACLE_SQL[name] = run, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rows(name: str, table: str, key: str | list[str], doc: Callable[[], Column], schema: object, valid: str | None, *, columns: str | None = None, where: str | None = None) -> None:
+def _rows(name: str, table: str, key: str | list[str], doc: Callable[[], Column], schema: object, valid: str, *, mode: str = "spec") -> None:
     """A verdict for each row of a table. ``valid``: DuckDB predicate over the row."""
-    keys, text = [key] if isinstance(key, str) else key, json.dumps(schema)
+    keys, text = [key] if isinstance(key, str) else key, schema if isinstance(schema, str) else json.dumps(schema)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        compiled = compile_schema(text)
+        compiled = compile_schema(text, mode=mode)
         return _table(spark, sf_dir, table).select(*keys, compiled.valid(doc()).alias("valid"))
 
-    _add(name, run, valid and f"SELECT {', '.join(keys)}, coalesce({valid}, false) AS valid FROM {table}")
+    _add(name, run, f"SELECT {', '.join(keys)}, coalesce({valid}, false) AS valid FROM {table}")
 
 
 def _orders(name: str, element: str, schema: object, valid: str, order: str | None = None) -> None:
@@ -49,6 +50,26 @@ def _orders(name: str, element: str, schema: object, valid: str, order: str | No
     _add(name, run, f"SELECT l_orderkey, {valid} AS valid FROM lineitem GROUP BY l_orderkey")
 
 
+def _code(name: str, table: str, key: str | list[str], doc: Callable[[], Column], schema: object, code: str) -> None:
+    """The error code of each row. ``code``: DuckDB CASE branches."""
+    keys = [key] if isinstance(key, str) else key
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(*keys, compile_schema(json.dumps(schema)).error_code(doc()).alias("error_code"))
+
+    _add(f"code_{name}", run, f"SELECT {', '.join(keys)}, (CASE {code} ELSE 0 END)::INT AS error_code FROM {table}")
+
+
+def _order_code(name: str, element: str, schema: object, code: str) -> None:
+    """As ``_code``, for the array of one column of each order's lines, sorted by value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        by = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(element)).alias("a"))
+        return by.select("l_orderkey", compile_schema(json.dumps(schema)).error_code(F.to_json("a")).alias("error_code"))
+
+    _add(f"code_{name}", run, f"SELECT l_orderkey, (CASE {code} ELSE 0 END)::INT AS error_code FROM lineitem GROUP BY l_orderkey")
+
+
 def _if(condition: str, then: str) -> Column:
     return F.expr(f"CASE WHEN {condition} THEN {then} END")
 
@@ -142,7 +163,7 @@ def ref_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("ref_recursive", ref_recursive, "SELECT r_regionkey, any_value(length(r_name) <= 12) AND bool_and(length(n_name) <= 12) AS valid FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey")
 _rows("boolean_schema", "nation", "n_nationkey", lambda: F.to_json(F.array("n_name")), False, "false")
 _rows("true_schema", "nation", "n_nationkey", lambda: F.to_json(F.array("n_name")), True, "true")
-_rows("malformed_json", "documents", "doc_id", lambda: F.col("text"), True, None)
+_rows("malformed_json", "documents", "doc_id", lambda: F.col("text"), True, "json_valid(text)")
 _rows("trailing_content", "events", "event_id", lambda: F.concat("props", F.when(F.col("event_id") % 4 == 0, F.lit(" {}")).when(F.col("event_id") % 4 == 1, F.lit(" ")).otherwise(F.lit(""))), {}, "event_id % 4 <> 0")
 EVENT = {"type": "object", "properties": {"event_type": {"type": "string", "minLength": 5}, "value": {"maximum": 50}}}
 
@@ -178,3 +199,144 @@ def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("sql_function", sql_function, "SELECT event_id, (props::JSON ->> 'k')::INT <= 50 AS valid FROM events")
+
+# --- error codes -----------------------------------------------------------------------------------------------------------
+
+_quoted = lambda column: F.concat(F.lit('"'), column, F.lit('"'))
+_code("unexpected_token", "part", "p_partkey", lambda: F.when(F.col("p_size") % 2 == 1, _quoted("p_brand")).otherwise(F.col("p_size").cast("string")), {"type": "number"}, "WHEN p_size % 2 = 1 THEN 1")
+_code("not_integer", "part", "p_partkey", lambda: F.when(F.col("p_size") % 5 == 0, F.lit("null")).otherwise(F.col("p_retailprice").cast("string")), {"type": "integer"}, "WHEN p_size % 5 = 0 THEN 1 WHEN p_retailprice <> floor(p_retailprice) THEN 2")
+_code("number", "orders", "o_orderkey", lambda: rendered(F.struct(F.col("o_totalprice").alias("price")).alias("order")), {"properties": {"order": {"properties": {"price": {"exclusiveMaximum": 150000}}}}}, "WHEN o_totalprice >= 150000 THEN 3")
+_code("properties_count", "lineitem", _line, _some, {"minProperties": 1, "maxProperties": 2}, f"WHEN {_count} < 1 THEN 4 WHEN {_count} > 2 THEN 5")
+_code("required", "orders", "o_orderkey", _total, {"required": ["o_key", "total"]}, "WHEN o_orderstatus <> 'F' THEN 6")
+_code("split_condition", "lineitem", _q, _pair, {"anyOf": [_big, _cheap], "not": {"allOf": [_big, _cheap]}}, "WHEN (l_quantity >= 25) = (l_discount >= 0.05::DOUBLE) THEN 7")
+_code("property_name", "orders", "o_orderkey", _total, {"properties": {"o_key": {}}, "additionalProperties": False}, "WHEN o_orderstatus = 'F' THEN 8")
+_code("property_names", "orders", "o_orderkey", _total, {"propertyNames": {"maxLength": 4}}, "WHEN true THEN 8")
+_code("string", "customer", "c_custkey", lambda: rendered("c_mktsegment"), {"patternProperties": {"^c_": {"pattern": "^[AB]"}}}, "WHEN NOT regexp_matches(c_mktsegment, '^[AB]') THEN 10")
+_code("constant", "orders", "o_orderkey", lambda: F.when(F.col("o_orderkey") % 3 == 0, F.lit("[]")).when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey").cast("string")).otherwise(_quoted("o_orderstatus")), {"enum": ["F", 7]}, "WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 AND o_custkey <> 7 THEN 3 WHEN o_orderkey % 3 = 2 AND o_orderstatus <> 'F' THEN 10")
+_code("length", "part", "p_partkey", lambda: rendered("p_name"), {"additionalProperties": {"minLength": 9, "maxLength": 11}}, "WHEN length(p_name) < 9 THEN 11 WHEN length(p_name) > 11 THEN 12")
+_order_code("array", "l_quantity", {"items": [{"maximum": 20}, {}], "additionalItems": False}, "WHEN min(l_quantity) > 20 THEN 3 WHEN count(*) > 2 THEN 13")
+_order_code("items_count", "l_quantity", {"minItems": 2, "maxItems": 4}, "WHEN count(*) < 2 THEN 14 WHEN count(*) > 4 THEN 15")
+_order_code("contains", "l_returnflag", {"contains": {"const": "R"}}, "WHEN NOT bool_or(l_returnflag = 'R') THEN 16")
+_code("not_multiple", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], lambda: F.col("l_quantity").cast("string"), {"multipleOf": 2.5}, "WHEN l_quantity / 2.5 <> floor(l_quantity / 2.5) THEN 17")
+_order_code("not_unique", "l_suppkey", {"uniqueItems": True, "items": {"type": "number"}}, "WHEN count(DISTINCT l_suppkey) < count(*) THEN 18")
+_code("json", "events", "event_id", lambda: F.concat("props", F.when(F.col("event_id") % 4 == 0, F.lit(",")).when(F.col("event_id") % 4 == 1, F.lit("\n")).otherwise(F.lit(""))), {}, "WHEN event_id % 4 = 0 THEN 32")
+
+# --- shapes that nest ------------------------------------------------------------------------------------------------------
+
+_orders("per_item_split", "l_quantity", {"contains": {"minimum": 40}, "items": {"type": "number", "maximum": 49}, "uniqueItems": True, "minItems": 2}, "bool_or(l_quantity >= 40) AND max(l_quantity) <= 49 AND count(DISTINCT l_quantity) = count(*) AND count(*) >= 2")
+_orders("contains_positional", "l_quantity", {"items": [{"maximum": 10}], "additionalItems": {"minimum": 5}, "contains": {"anyOf": [{"multipleOf": 7}, {"minimum": 48}]}}, "min(l_quantity) <= 10 AND (count(*) < 2 OR list_sort(list(l_quantity))[2] >= 5) AND bool_or(l_quantity / 7 = floor(l_quantity / 7) OR l_quantity >= 48)")
+_orders("not_contains", "l_returnflag", {"not": {"contains": {"not": {"enum": ["A", "N"]}}}}, "NOT bool_or(l_returnflag = 'R')")
+_rows("bit_vector_split", "lineitem", _q, _pair, {"anyOf": [{"allOf": [_big, {"not": _cheap}]}, {"oneOf": [_cheap, {"properties": {"q": {"multipleOf": 3}}}]}]}, "(l_quantity >= 25 AND NOT l_discount >= 0.05::DOUBLE) OR ((l_discount >= 0.05::DOUBLE) <> (l_quantity / 3 = floor(l_quantity / 3)))")
+_rows("required_next_to_one_of", "orders", "o_orderkey", _total, {"required": ["o_key"], "oneOf": [{"required": ["total"]}, {"properties": {"o_key": {"maximum": 500}}}]}, "(o_orderstatus = 'F') <> (o_orderkey <= 500)")
+_rows("all_of_tuples", "orders", "o_orderkey", lambda: F.to_json(F.array(F.col("o_totalprice"), F.col("o_custkey").cast("double"))), {"allOf": [{"items": [{"minimum": 50000}]}, {"items": [{}, {"maximum": 1000}]}, {"maxItems": 2}]}, "o_totalprice >= 50000 AND o_custkey <= 1000")
+_rows("nested_objects", "orders", "o_orderkey", lambda: F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("o_totalprice").alias("d")).alias("c")).alias("b")).alias("a"))), {"required": ["a"], "properties": {"a": {"type": "object", "required": ["b"], "properties": {"b": {"type": "object", "required": ["c"], "properties": {"c": {"type": "object", "required": ["d"], "properties": {"d": {"type": "number", "maximum": 200000}}}}}}}}}, "o_totalprice <= 200000")
+_rows("length_in_code_points", "part", "p_partkey", lambda: F.to_json(F.array(F.concat("p_name", F.lit("\u00e9\U0001f600")))), {"items": {"minLength": 12, "maxLength": 14}}, "length(p_name) + 2 BETWEEN 12 AND 14")
+
+
+def unique_items_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements are objects and arrays; key order and the spelling of numbers don't count."""
+    item = F.when(F.col("l_linenumber") % 2 == 0, F.format_string('{"s":%d,"l":[%d.0]}', F.expr("l_suppkey % 7"), F.expr("l_partkey % 2"))).otherwise(F.format_string('{"l":[%d],"s":%d}', F.expr("l_partkey % 2"), F.expr("l_suppkey % 7")))
+    by = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(",", F.sort_array(F.collect_list(item))).alias("a"))
+    return by.select("l_orderkey", compile_schema('{"uniqueItems": true}').valid(F.concat(F.lit("["), "a", F.lit("]"))).alias("valid"))
+
+
+_add("unique_items_objects", unique_items_objects, "SELECT l_orderkey, count(DISTINCT (l_suppkey % 7) * 2 + l_partkey % 2) = count(*) AS valid FROM lineitem GROUP BY l_orderkey")
+
+# --- keywords that make no check, identifiers ------------------------------------------------------------------------------
+
+_rows("metadata_keywords", "customer", "c_custkey", lambda: rendered("c_acctbal"), {"$schema": "http://json-schema.org/draft-06/schema#", "title": "customer", "description": "by balance", "examples": [{"c_acctbal": "any"}], "default": {"c_acctbal": -1}, "properties": {"c_acctbal": {"title": "balance", "default": None, "minimum": 100}}}, "c_acctbal >= 100")
+_rows("unknown_keywords", "customer", "c_custkey", lambda: rendered("c_acctbal"), {"format": "email", "if": {"required": ["none"]}, "x~y/z": {"maximum": 2500}, "properties": {"c_acctbal": {"$ref": "#/x~0y~1z"}}}, "c_acctbal <= 2500")
+_rows("ref_ignores_siblings", "customer", "c_custkey", lambda: rendered("c_acctbal"), {"properties": {"c_acctbal": {"$ref": "#/definitions/n", "maximum": 0}}, "definitions": {"n": {"type": "number"}}}, "true")
+_rows("id_alias", "customer", "c_custkey", lambda: rendered("c_acctbal"), {"id": "http://example.test/dir/root.json", "definitions": {"x": {"id": "sub/leaf.json", "definitions": {"y": {"id": "#spot", "minimum": 0}}}}, "properties": {"c_acctbal": {"$ref": "sub/leaf.json#spot"}}}, "c_acctbal >= 0")
+
+# --- documented deviations ---------------------------------------------------------------------------------------------------
+
+_rows("compat_number_integer", "part", "p_partkey", lambda: F.col("p_retailprice").cast("string"), {"type": ["number", "integer"]}, "p_retailprice = floor(p_retailprice)", mode="compat")
+_rows("compat_last_bound", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], lambda: F.col("l_quantity").cast("string"), {"exclusiveMaximum": 20, "maximum": 40}, "l_quantity <= 40", mode="compat")
+_rows("compat_const_or_enum", "orders", "o_orderkey", lambda: _quoted("o_orderstatus"), {"const": "F", "enum": ["O"]}, "o_orderstatus IN ('F', 'O')", mode="compat")
+_rows("compat_array_prefix", "orders", "o_orderkey", lambda: F.to_json(F.expr("CASE WHEN o_orderkey % 3 = 0 THEN array() WHEN o_orderkey % 3 = 1 THEN array(o_orderstatus) ELSE array(o_orderstatus, 'x', 'y') END")), {"const": ["F", "x"]}, "o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND o_orderstatus = 'F')", mode="compat")
+_rows("compat_shared_names", "orders", "o_orderkey", _total, {"allOf": [{"properties": {"o_key": {}}, "additionalProperties": False}, {"properties": {"total": {"minimum": 100000}}}]}, "o_orderstatus <> 'F' OR o_totalprice >= 100000", mode="compat")
+_rows("compat_required_names", "orders", "o_orderkey", _total, {"required": ["total"], "properties": {"o_key": {}}, "additionalProperties": False}, "o_orderstatus = 'F'", mode="compat")
+_rows("compat_empty_schemas", "orders", "o_orderkey", _total, {"properties": {"o_key": [], "total": 3}, "patternProperties": {"z": None, "y": "text"}, "required": ["total"]}, "o_orderstatus = 'F'", mode="compat")
+
+# --- sources, streams, compiled schemas as values, printouts -----------------------------------------------------------------
+
+PRICED = '{"required": ["key"], "properties": {"price": {"maximum": 150000}}}'
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON Lines and read back as documents."""
+    path = scratch(spark)
+    _table(spark, sf_dir, "orders").select(rendered(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))).write.text(path)
+    docs = lines(spark, path)
+    return docs.select(F.get_json_object("doc", "$.key").cast("long").alias("o_orderkey"), compile_schema(PRICED).valid("doc").alias("valid"))
+
+
+_add("json_lines", json_lines, "SELECT o_orderkey, o_totalprice <= 150000 AS valid FROM orders")
+
+
+def whole_file_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, in a folder of its own, each one document over several lines."""
+    path = scratch(spark)
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit('{"name":\n'), F.get_json_object(F.to_json(F.struct(F.to_json(F.array("n_name")).alias("n"))), "$.n"), F.lit("\n}")).alias("doc"))
+    nations.write.partitionBy("n_nationkey").text(path)
+    files = whole_files(spark, f"{path}/*")
+    return files.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), compile_schema('{"properties": {"name": {"items": {"maxLength": 7}}}}').valid("doc").alias("valid"))
+
+
+_add("whole_file_documents", whole_file_documents, "SELECT n_nationkey, length(n_name) <= 7 AS valid FROM nation")
+
+
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, validated in micro-batches and committed to Parquet."""
+    path = scratch(spark)
+    stream = streaming.files(spark, f"{sf_dir}/events.parquet")
+    streaming.write(streaming.validated(stream, compile_schema(json.dumps(BY_TYPE["click"])), "props"), f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "valid", "error_code")
+
+
+_add("stream_verdicts", stream_verdicts, "SELECT event_id, (props::JSON ->> 'k')::INT <= 50 AS valid, (CASE WHEN (props::JSON ->> 'k')::INT > 50 THEN 3 ELSE 0 END)::INT AS error_code FROM events")
+
+
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by hour and error code of the same stream; windows that the watermark has closed, so the last ones are open."""
+    path = scratch(spark)
+    counts = streaming.verdicts_by_window(streaming.files(spark, f"{sf_dir}/events.parquet"), compile_schema(json.dumps(BY_TYPE["click"])), "props", "ts", late="0 seconds")
+    streaming.write(counts, f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.unix_timestamp("start").alias("start"), "error_code", "documents")
+
+
+_add("stream_counts", stream_counts, """
+SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, (CASE WHEN (props::JSON ->> 'k')::INT > 50 THEN 3 ELSE 0 END)::INT AS error_code, count(*) AS documents
+FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) GROUP BY ALL""")
+
+
+def saved_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compiled schema saved and loaded, as executors and jobs pass it on."""
+    loaded = pickle.loads(pickle.dumps(compile_schema(PRICED)))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", loaded.valid(rendered(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))).alias("valid"))
+
+
+_add("saved_schema", saved_schema, "SELECT o_orderkey, o_totalprice <= 150000 AS valid FROM orders")
+OUTLINE = '{"$id": "http://example.test/a.json", "type": "array", "items": {"$id": "b.json", "properties": {"n": {"$ref": "#/properties/m"}, "m": {"title": "last", "type": "null"}}}}'
+
+
+def schema_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every absolute identifier of a schema, with the text printout of its subschema."""
+    root = compile_schema(OUTLINE).root
+    return spark.createDataFrame([(i, repr(n)[:20]) for n in reachable(root) for i in n.ids if i.startswith("http")], "id string, node string")
+
+
+_add("schema_outline", schema_outline, """
+SELECT * FROM (VALUES ('http://example.test/a.json#', 'SchemaNode(types=fro'), ('http://example.test/a.json#/items', 'SchemaNode(propertie'), ('http://example.test/b.json#', 'SchemaNode(propertie'),
+  ('http://example.test/a.json#/items/properties/n', 'SchemaNode(ref=''http'), ('http://example.test/b.json#/properties/n', 'SchemaNode(ref=''http'),
+  ('http://example.test/a.json#/items/properties/m', 'SchemaNode(types=fro'), ('http://example.test/b.json#/properties/m', 'SchemaNode(types=fro')) t(id, node)""")
+
+
+def stage_printouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stages of a compiled schema print something."""
+    schema = compile_schema(OUTLINE)
+    return spark.createDataFrame([(stage, bool(schema.explain(stage))) for stage in STAGES], "stage string, printed boolean")
+
+
+_add("stage_printouts", stage_printouts, "SELECT unnest(['schema', 'ids', 'refs', 'metadata', 'patterns', 'tier', 'simplified', 'forms', 'cost', 'sql', 'error_code', 'violations']) AS stage, stage <> 'patterns' AS printed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.codes import CODES
 from quern.operators.interpreter import Interpreter
-from quern.plans.native import VIOLATION, TooLarge, expression, is_native
+from quern.plans.native import INEXACT, VIOLATION, Emitter, TooLarge, compares_texts, expression, is_native
 from quern.plans.schema import SchemaNode, parse_schema, reachable
 
 
@@ -19,6 +19,10 @@ from quern.plans.schema import SchemaNode, parse_schema, reachable
 LARGE = 16_000_000
 
 
+#: What ``explain`` can print: what was parsed, what it refers to, what is left of it, and the native expressions.
+STAGES = ("schema", "ids", "refs", "metadata", "patterns", "tier", "simplified", "forms", "cost", "sql", "error_code", "violations")
+
+
 class CompiledSchema:
     """A schema ready for use. ``tier`` is ``native`` (a JVM expression) or ``arrow`` (batches in Python workers)."""
 
@@ -27,10 +31,11 @@ class CompiledSchema:
         self.root: SchemaNode = parse_schema(text, base_uri, mode)
         self.python = Interpreter(self.root)
         self._sql: dict[str, str] = {}
+        self.by_text = compares_texts(self.root)
         native = is_native(self.root)
         if native:
             try:
-                self._sql = {what: expression(self.root, "\0", what) for what in ("valid",)}
+                self._sql = {what: expression(self.root, "\0", what) for what in ("valid", "error_code", "violations")}
             except TooLarge:
                 native = False
         if tier == "native" and not native:
@@ -39,24 +44,25 @@ class CompiledSchema:
 
     def sql(self, what: str, column: str) -> str:
         """The native form of ``valid``, ``error_code`` or ``violations`` over the column name or SQL ``column``."""
-        if what not in self._sql:
-            self._sql[what] = expression(self.root, "\0", what)
         return self._sql[what].replace("\0", column)
 
     def _apply(self, what: str, doc: Column | str, large: bool) -> Column:
         doc = F.col(doc) if isinstance(doc, str) else doc
         if self.tier == "native":
             native = _bound(doc, lambda name: self.sql(what, name))
-            if not large:
+            if not large and not self.by_text:
                 return native
-            over = F.octet_length(doc) > LARGE
+            over = F.octet_length(doc) > LARGE if large else F.lit(False)
+            over = over | doc.rlike(INEXACT) if self.by_text else over
+            over = F.coalesce(over, F.lit(False))
             return F.when(over, self._arrow[what](F.when(over, doc))).otherwise(native)  # other rows send NULL to Python
         return self._arrow[what](doc)
 
     def valid(self, doc: Column | str, *, large: bool = False) -> Column:
         """Whether the document is valid; never NULL (a NULL document is malformed, so not valid).
 
-        ``large``, here and below: documents of over ``LARGE`` bytes, which a VARIANT may not hold, go to the Arrow tier.
+        ``large``, here and below: documents of over ``LARGE`` bytes, which a VARIANT may not hold, go to the Arrow tier. So do
+        documents with inexact numbers where ``uniqueItems`` compares arrays or objects; all others stay in the JVM.
         """
         return self._apply("valid", doc, large)
 
@@ -96,7 +102,7 @@ class CompiledSchema:
 
     def register(self, spark: SparkSession, name: str) -> None:
         """A SQL function ``name(doc)``."""
-        if self.tier == "native":
+        if self.tier == "native" and not self.by_text:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(doc STRING) RETURNS BOOLEAN RETURN {self.sql('valid', 'doc')}")
         else:
             python = self.python
@@ -108,14 +114,32 @@ class CompiledSchema:
             spark.udf.register(name, valid)
 
     def explain(self, stage: str = "schema") -> str:
-        """A printout of one stage: schema, ids, or the SQL of the native tier."""
+        """A printout of one of ``STAGES``."""
+        if stage not in STAGES:
+            raise ValueError(f"no such stage: {stage}")
+        nodes = reachable(self.root)
         if stage == "schema":
             return repr(self.root)
         if stage == "ids":
             return "\n".join(self.ids())
-        if stage == "sql":
-            return self.sql("valid", "doc") if self.tier == "native" else "-- arrow tier"
-        raise ValueError(f"no such stage: {stage}")
+        if stage == "refs":
+            return "\n".join(f"{n.ref} -> {n.target.ids[0]}" for n in nodes if n.ref is not None)
+        if stage == "metadata":
+            return "\n".join(f"{n.ids[0]}: {n.metadata}" for n in nodes if n.metadata)
+        if stage == "patterns":
+            return "\n".join(f"{p} -> {r.pattern}" for p, r in self.python.regex.items())
+        if stage == "tier":
+            return self.tier + (", other tier for inexact numbers" if self.tier == "native" and self.by_text else "")
+        if self.tier != "native":
+            return "-- arrow tier"
+        if stage == "simplified":  # subschemas that take every value make no check
+            empty = Emitter().empty
+            return "\n".join(f"{n.ids[0]}: {'true' if empty(n) else repr(n)}" for n in nodes if n.ids)
+        if stage == "forms":  # what each value is bound as
+            return "\n".join(f"{n.ids[0]}: {' '.join(sorted(need.forms)) or '-'} {need.names or ''}".rstrip() for n in nodes if n.ids for need in [Emitter().needs(n)])
+        if stage == "cost":
+            return "\n".join(f"{what}: {len(sql)} bytes of SQL, {sql.count(' -> ')} lambdas" for what, sql in self._sql.items())
+        return self.sql({"sql": "valid"}.get(stage, stage), "doc")
 
     def __reduce__(self):  # noqa: ANN204
         return CompiledSchema, (self.text, self.base_uri, self.mode, self.tier)

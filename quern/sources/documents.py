@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +33,23 @@ def rendered(*fields: Column | str) -> Column:
 def write_verdicts(df: DataFrame, path: str, *, valid: str = "valid", mode: str = "errorifexists") -> None:
     """Parquet partitioned by verdict, so that readers of valid documents skip the rest."""
     df.write.mode(mode).partitionBy(valid).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, removed at exit; a local one only if that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the JVM may already be gone at exit
+            pass
+
+    atexit.register(remove)
+    return path

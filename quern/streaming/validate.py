@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators.validate import CompiledSchema, with_verdict
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet file or folder as a stream, with the columns it has now."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+
+
 def validated(stream: DataFrame, schema: CompiledSchema, doc: str) -> DataFrame:
     """The stream with ``valid`` and ``error_code``; no state, so any trigger and any output mode."""
     return with_verdict(stream, schema, doc, error_code="error_code")

@@ -61,6 +61,13 @@ def verdicts(spark, schema, docs: list) -> list[tuple]:
     return [(r["v"], r["c"] == 0, not r["x"]) for r in sorted(rows)]
 
 
+def found(spark, schema, docs: list) -> list[tuple]:
+    """Error code, and all violations in order: path, keyword, code."""
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, doc string").coalesce(1)
+    rows = df.select("i", schema.error_code("doc").alias("c"), schema.violations("doc").alias("x")).collect()
+    return [(r["c"], [tuple(x) for x in r["x"]]) for r in sorted(rows)]
+
+
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_cases(spark, i):
     raw, good, bad = CASES[i]
@@ -69,6 +76,7 @@ def test_cases(spark, i):
     want = [True] * len(good) + [False] * (len(bad) + 1)
     assert [schema.is_valid(d) for d in docs] == want
     assert verdicts(spark, schema, docs) == [(w, w, w) for w in want]
+    assert found(spark, schema, docs) == [(f[0][2] if f else 0, f) for f in map(schema.python.check, docs)]
 
 
 def test_arrow_tier_agrees(spark):
@@ -94,6 +102,7 @@ def test_tiers_agree_on_random_pairs(spark, raw, docs):
     texts = [json.dumps(d) for d in docs]
     want = [schema.is_valid(t) for t in texts]
     assert verdicts(spark, schema, texts) == [(w, w, w) for w in want]
+    assert found(spark, schema, texts) == [(f[0][2] if f else 0, f) for f in map(schema.python.check, texts)]
 
 
 @pytest.mark.parametrize("text", ["", "{", "1", '"x"', '{"type":"any"}', '{"type":[]}', '{"type":["null","null"]}', '{"multipleOf":0}', '{"minLength":-1}', '{"enum":[]}', '{"allOf":[]}', '{"$ref":"#/nowhere"}', '{"$ref":"#"}', '{"pattern":"("}', '{"pattern":"(?<=a)b"}', '{"required":"a"}', '{"properties":[]}', '{"uniqueItems":1}', '{"definitions":{"a":{"$id":"#x"},"b":{"$id":"#x"}}}'])
