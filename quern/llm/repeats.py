@@ -96,8 +96,8 @@ class RunIndex:
         head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.rows, self.head, self.char = len(text), head, before[head]
         run = np.diff(np.r_[head, len(text)])
-        self.last = head + run - 1
-        self.sample = np.stack([text, at], 1)[self.last]  # the suffix array at run ends
+        self.last, self.places = head + run - 1, width + 1
+        self.sample = text[self.last] * self.places + at[self.last]  # the suffix array at run ends
         by = np.argsort(self.char, kind="stable")
         total = np.cumsum(run[by]) - run[by]
         self.to = np.empty(len(head), np.int64)  # LF of each run's first row
@@ -116,27 +116,24 @@ class RunIndex:
         some = long[cut] & (least < most)  # only these can mark anything
         self.stretch, self.past, self.least = np.r_[-1, cut[some]], np.r_[-1, np.r_[cut[1:], len(text)][some]], np.r_[0, least[some]]
 
-    def lf(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The row of the suffix that is one byte longer, and that byte (0 at a text's start)."""
-        run = np.searchsorted(self.head, row, side="right") - 1
-        return self.to[run] + row - self.head[run], self.char[run]
+    def lf(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """The rows of the suffixes that are one byte longer, from rows and their runs."""
+        return self.to[run] + row - self.head[run]
 
-    def _walked(self, text: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
-        """The walk must pass the sampled run ends at the places that they name."""
-        run = np.searchsorted(self.last, row)
-        end = np.flatnonzero(self.last[np.minimum(run, len(self.last) - 1)] == row)
-        if (self.sample[run[end]] != np.stack([text[end], at[end]], 1)).any():
-            raise AssertionError("the run-length index is damaged")
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.head, row, side="right") - 1
 
     def marks(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stream all texts backwards: (text, place) where ``length`` bytes also occur in a text of a smaller owner."""
         text, row, at = np.arange(len(self.size)), np.arange(len(self.size)), self.size.copy()
         found_text, found_at = [], []
         while True:
-            row, char = self.lf(row)
-            go = char > 0
-            self._walked(text[go], row[go], at[go] - 1)
-            text, row, at = text[go], row[go], at[go] - 1
+            run = self.run_of(row)
+            end = np.flatnonzero(self.last[run] == row)
+            if (self.sample[run[end]] != text[end] * self.places + at[end]).any():
+                raise AssertionError("the run-length index is damaged")
+            go = self.char[run] > 0
+            text, row, at = text[go], self.lf(row[go], run[go]), at[go] - 1
             if not len(text):
                 break
             k = np.searchsorted(self.stretch, row, side="right") - 1
