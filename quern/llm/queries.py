@@ -97,13 +97,19 @@ WITH t AS (SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS
 ), q AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
 ), v AS (SELECT doc_id, stratum, rule, ratio FROM (SELECT doc_id, stratum, base_failed, {', '.join(f'({_ratio_of(ratio)})::DOUBLE AS {rule}' for rule, (ratio, _) in rules.RULES.items())} FROM b) UNPIVOT (ratio FOR rule IN ({', '.join(rules.RULES)})) WHERE NOT base_failed
 ), cuts(rule, cutoff) AS (VALUES {', '.join(f"('{rule}', {cut}::DOUBLE)" for rule, _, cut in _tests)}
-), held AS (SELECT stratum, count(*) FILTER (q = 1) AS n FROM b JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY stratum
-), k AS (SELECT v.stratum, v.rule, cutoff, count(*) FILTER (q = 1 AND ratio > cutoff) AS k, count(*) FILTER (q = 0 AND ratio > cutoff) AS bad FROM v JOIN q USING (doc_id) JOIN cuts USING (rule) GROUP BY ALL
-), p AS (
-  SELECT k.*, n, CASE WHEN n = 0 OR k >= n * {0.05 / len(rules.RULES)!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({0.05 / len(rules.RULES)!r}) + (n - i) * ln(1 - {0.05 / len(rules.RULES)!r})))) END AS tail
-  FROM k JOIN held USING (stratum)
-), best AS (SELECT stratum, rule, max(struct_pack(net := bad - {rules.GOOD_WEIGHT} * k, cutoff := cutoff)).cutoff AS cutoff FROM p WHERE tail <= 0.05 / ((SELECT count(DISTINCT stratum) FROM b) * {len(_tests)}) AND bad - {rules.GOOD_WEIGHT} * k > 0 GROUP BY ALL
-), broken AS (SELECT DISTINCT doc_id FROM v JOIN best USING (stratum, rule) WHERE ratio > cutoff)
+), h AS (SELECT doc_id, stratum, q, md5(doc_id::VARCHAR) < '8' AS proposes FROM b JOIN q USING (doc_id) WHERE NOT base_failed
+), net AS (
+  SELECT v.stratum, rule, cutoff, count(*) FILTER (q = 0) - {rules.GOOD_WEIGHT} * count(*) FILTER (q = 1) AS net
+  FROM v JOIN h USING (doc_id) JOIN cuts USING (rule) WHERE proposes AND ratio > cutoff GROUP BY ALL HAVING net > 0
+), best AS (SELECT stratum, rule, max(struct_pack(net := net, cutoff := cutoff)) AS x FROM net GROUP BY ALL
+), proposed AS (SELECT stratum, rule, x.cutoff AS cutoff, row_number() OVER (PARTITION BY stratum ORDER BY x.net DESC, rule) AS place FROM best
+), fell AS (SELECT v.stratum, doc_id, min(place) AS place FROM v JOIN h USING (doc_id) JOIN proposed p ON p.stratum = v.stratum AND p.rule = v.rule WHERE NOT proposes AND q = 1 AND ratio > cutoff GROUP BY ALL
+), n AS (SELECT stratum, count(*) AS n FROM h WHERE NOT proposes AND q = 1 GROUP BY stratum
+), k AS (SELECT p.stratum, p.rule, p.cutoff, n.n, (SELECT count(*) FROM fell f WHERE f.stratum = p.stratum AND f.place <= p.place) AS k FROM proposed p JOIN n ON n.stratum = p.stratum
+), best_set AS (
+  SELECT stratum, rule, cutoff FROM k WHERE k < n * 0.05::DOUBLE
+    AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) <= 0.05 / (SELECT count(DISTINCT stratum) FROM b)
+), broken AS (SELECT DISTINCT doc_id FROM v JOIN best_set USING (stratum, rule) WHERE ratio > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept FROM b
 """
 

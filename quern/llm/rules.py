@@ -1,20 +1,24 @@
 """Quality rules with risk-controlled thresholds (operator 2), in DataFrame and SQL functions only.
 
-Every rule compares one ratio with a cutoff from a fixed grid. For each stratum (language), rule and cutoff, the
-labelled good documents that pass the base rules are a holdout: ``k`` of ``n`` exceed the cutoff, and the cutoff is
-certified where the exact binomial tail P(Bin(n, alpha / rules) <= k) is at most ``delta`` divided by the number of
-strata, rules and cutoffs (Bonferroni), so that with probability 1 - delta no stratum loses more than ``alpha`` of its
-good documents. Of the certified cutoffs of a rule the one is taken that rejects most labelled bad documents, net of
-``GOOD_WEIGHT`` times the good ones; where none rejects any, the rule is off in that stratum.
+Every rule compares one ratio with a cutoff. In each stratum (language) the labelled documents that pass the base rules are
+split in two by a hash of doc_id. The first half proposes: of a fixed grid, each rule takes the cutoff that rejects most bad
+documents net of ``GOOD_WEIGHT`` times the good ones, and rules that gain something are put in order of that gain. The second
+half certifies, in that order, ever larger sets of rules: ``k`` of its ``n`` good documents break some rule of the set, and the
+set is certified while the exact binomial tail P(Bin(n, alpha) <= k) is at most ``delta`` divided by the number of strata. Sets
+are tested in a fixed sequence that ends at the first failure, so within a stratum no more correction is due, and Bonferroni
+covers the strata: with probability 1 - delta no stratum loses more than ``alpha`` of its good documents to the largest
+certified set, which is the one in force. About ln(delta / strata) / ln(1 - alpha) good labels (86 for four strata) must be in
+the second half before anything can be certified; below that, only the base rules hold.
 
 Null text: no words, so base_failed. Null language: a stratum of its own. Null quality: no label; repeated labels of a
-document count once, as the lowest. Repeated documents: each row is judged and counted. No labels or an empty table:
-only the base rules hold. Extra columns are ignored, unless ``carry`` keeps whole rows.
+document count once, as the lowest. Repeated documents: each row is judged and counted. Equal gains: rules go by name, and of
+equal cutoffs' gains the larger cutoff. Very long texts: read whole, as arrays of their words and word windows. No labels or an
+empty table: only the base rules hold. Extra columns are ignored, whatever their names, unless ``carry`` keeps whole rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -67,30 +71,50 @@ def _ratio(rule: str) -> Column:
     return F.expr(f"CAST(try_divide({RULES[rule][0].replace(' / ', ', ')}) AS DOUBLE)")
 
 
+def _log_gamma(x: str) -> str:
+    """SQL: ln Gamma of a positive double, by Stirling's series at x + 7."""
+    y = f"({x} + 7D)"
+    series = f"({y} - 0.5D) * ln({y}) - {y} + 0.91893853320467274178D + 1D / (12D * {y}) - 1D / (360D * pow({y}, 3)) + 1D / (1260D * pow({y}, 5)) - 1D / (1680D * pow({y}, 7))"
+    return f"({series} - ln({' * '.join(f'({x} + {i}D)' for i in range(7))}))"
+
+
 def log_tail(p: float) -> Column:
-    """log P(Bin(n, p) <= k) of columns n and k, exactly, summed in logs term by term; 0 where k >= n p, as no test would pass there."""
-    first = f"n * ln(1 - {p}D)"
-    odds = f"ln({p}D) - ln(1 - {p}D)"
-    grow = "struct(a.t + ln(CAST(n - i + 1 AS DOUBLE)) - ln(CAST(i AS DOUBLE)) + (" + odds + ") AS t, a.s AS s)"
-    add = f"transform(array({grow}), b -> struct(b.t AS t, greatest(b.s, b.t) + ln(1 + exp(-abs(b.s - b.t))) AS s))[0]"
-    return F.expr(f"CASE WHEN n = 0 OR k >= n * {p}D THEN 0D WHEN k = 0 THEN {first} ELSE aggregate(sequence(1L, k), struct({first} AS t, {first} AS s), (a, i) -> {add}, a -> a.s) END")
+    """log P(Bin(n, p) <= k) of columns n and k; 0 where k >= n p, as no test would pass there.
+
+    The largest term comes from ln Gamma and the others from it downwards, until twelve standard deviations below, where they
+    are lost in a double's last place; so the work grows with the root of n.
+    """
+    top = f"{_log_gamma('(n + 1D)')} - {_log_gamma('(k + 1D)')} - {_log_gamma('(n - k + 1D)')} + k * ln({p}D) + (n - k) * ln(1 - {p}D)"
+    steps = f"least(k, CAST(ceil(12 * sqrt(n * {p}D)) AS BIGINT) + 50)"
+    grow = f"a.r * (k - i + 1) * (1 - {p}D) / ((n - k + i) * {p}D)"
+    add = f"transform(array({grow}), r -> struct(r AS r, a.s + r AS s))[0]"
+    return F.expr(f"CASE WHEN n = 0 OR k >= n * {p}D THEN 0D WHEN k = 0 THEN n * ln(1 - {p}D) ELSE {top} + ln(aggregate(sequence(1L, {steps}), struct(1D AS r, 1D AS s), (a, i) -> {add}, a -> a.s)) END")
 
 
 def thresholds(table: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, key: str = "doc_id", quality: str = "quality") -> DataFrame:
     """Certified cutoffs: stratum, rule, cutoff."""
     marked = labels.where(F.col(quality).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.min(quality).alias("q"))
-    held = table.where(~F.col("base_failed")).join(marked, "doc_id")
-    tests = [(rule, cut) for rule, (_, grid) in RULES.items() for cut in grid]
-    sums = [F.sum(F.when(_ratio(rule) > cut, F.when(F.col("q") == good, 1)).cast("long")).alias(f"{name}{i}") for i, (rule, cut) in enumerate(tests) for name, good in (("k", 1), ("b", 0))]
-    by = held.groupBy("stratum").agg(F.sum((F.col("q") == 1).cast("long")).alias("n"), *sums)  # a row for each stratum
-    rows = ", ".join(f"struct('{rule}' AS rule, {cut}D AS cutoff, coalesce(k{i}, 0L) AS k, coalesce(b{i}, 0L) AS b)" for i, (rule, cut) in enumerate(tests))
-    long = by.select("stratum", "n", F.expr(f"inline(array({rows}))"))
+    ratios = [_ratio(rule).alias(f"r_{rule}") for rule in RULES]
+    held = written(table.where(~F.col("base_failed")).join(marked, "doc_id").select("stratum", "q", (F.md5(F.col("doc_id").cast("string")) < "8").alias("proposes"), *ratios))
     strata = table.select("stratum").distinct().count()  # one number
-    p = alpha / len(RULES)
-    passed = long.where(log_tail(p) <= F.log(F.lit(delta / (max(1, strata) * len(tests)))))
-    net = F.col("b") - GOOD_WEIGHT * F.col("k")
-    best = passed.where(net > 0).groupBy("stratum", "rule").agg(F.max(F.struct(net.alias("net"), "cutoff")).alias("best"))
-    return best.select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
+
+    # the first half proposes a cutoff for each rule
+    tests = [(rule, cut) for rule, (_, grid) in RULES.items() for cut in grid]
+    net = lambda rule, cut: F.sum(F.when(F.col(f"r_{rule}") > cut, F.when(F.col("q") == 1, -GOOD_WEIGHT).when(F.col("q") == 0, 1)).cast("long"))
+    by = held.where("proposes").groupBy("stratum").agg(*(net(*t).alias(f"net{i}") for i, t in enumerate(tests)))  # a row for each stratum
+    rows = ", ".join(f"struct('{rule}' AS rule, {cut}D AS cutoff, net{i} AS net)" for i, (rule, cut) in enumerate(tests))
+    long = by.select("stratum", F.expr(f"inline(array({rows}))")).where("net > 0")
+    best = long.groupBy("stratum", "rule").agg(F.max(F.struct("net", "cutoff")).alias("best")).select("stratum", "rule", "best.*")
+    proposed = written(best.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("net"), "rule"))))
+
+    # the second half certifies the first rules in that order
+    wide = proposed.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.struct("cutoff", "place"))).alias(f"p_{r}") for r in RULES))
+    good = held.where("NOT proposes AND q = 1").join(written(wide), "stratum")
+    first = F.least(F.lit(len(RULES) + 1), *(F.when(F.col(f"r_{r}") > F.col(f"p_{r}.cutoff"), F.col(f"p_{r}.place")) for r in RULES))  # of the places whose rule it breaks
+    fell = good.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((first <= j).cast("long")).alias(f"k{j}") for j in range(1, len(RULES) + 1)))
+    tried = proposed.join(fell, "stratum").withColumn("k", F.expr(f"CASE place {' '.join(f'WHEN {j} THEN k{j}' for j in range(1, len(RULES) + 1))} END"))
+    # a larger set rejects no fewer, so what passes is a beginning of the sequence
+    return tried.where(log_tail(alpha) <= F.log(F.lit(delta / max(1, strata)))).select("stratum", "rule", "cutoff")
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
@@ -98,7 +122,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: fl
     table = written(features(docs, key=key, text=text, stratum=stratum, carry=carry))
     cuts = thresholds(table, labels, alpha=alpha, delta=delta, key=key)
     wide = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    out = table.join(F.broadcast(wide) if carry else wide, "stratum", "left")  # whole rows aren't shuffled by stratum
+    out = table.join(written(wide), "stratum", "left")  # its size is known, so Spark broadcasts it where it is small
     broken = F.array_compact(F.array(*(F.when(_ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))
     out = out.withColumn("failed_rules", broken).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     return out.drop("stratum", *(f"cut_{r}" for r in RULES))

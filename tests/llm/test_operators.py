@@ -154,18 +154,47 @@ def test_quality_rules(spark, edge, labels):
     assert (r.n_words, r.n_repeat_words, r.n_dup_lines, r.n_symbols, r.word_chars) == (16, 14, 1, 3, 19)
     from math import comb, log
 
-    for n, k, p in ((50, 0, 0.1), (200, 7, 0.1), (400, 39, 0.1)):
-        exact = log(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    for n, k, p in ((50, 0, 0.1), (200, 7, 0.1), (400, 39, 0.1), (5000, 180, 0.05)):
+        exact = log(sum(comb(n, i) * round(1 / p - 1) ** (n - i) for i in range(k + 1))) - n * log(round(1 / p))
         assert spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(k).cast("long").alias("k")).select(rules.log_tail(p)).first()[0] == pytest.approx(exact)
+    huge = spark.range(1).select(F.lit(10**9).alias("n"), F.lit(49_900_000).alias("k")).select(rules.log_tail(0.05)).first()[0]
+    assert -111 < huge < -108  # 14.5 standard deviations below the mean
     assert rules.judged(edge.limit(0), labels).count() == 0
 
 
+def _duck(sql, **tables):
+    import duckdb
+
+    c = duckdb.connect()
+    for name, t in tables.items():
+        c.register(name, t)
+    return c.execute(sql).fetchall()
+
+
 def test_thresholds_hold_back_where_labels_are_few(spark):
-    rows = [(i, "word " * 9 + " ".join(f"w{i}x{j}" + ("$" if i % 10 == 0 else "") for j in range(60)), "en") for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    marks = docs.select("doc_id", (F.col("doc_id") % 10 != 0).cast("int").alias("quality"))
-    for m, want in ((marks, 2700), (marks.limit(50), 3000)):
-        assert rules.judged(docs, m).where("kept").count() == want
+    """Each language has its own rate of marks among good and bad documents; SQL and rules must agree on all rows."""
+    from quern.llm.queries import ORACLE_SQL
+
+    r = random.Random(11)
+    rows = []
+    for i in range(3000):
+        lang = ("en", "de", "fr", None)[i % 4]
+        bad = r.random() < 0.2
+        marks = r.random() < (0.8 if bad else {"en": 0.0, "de": 0.01, "fr": 0.3, None: 0.0}[lang])
+        shout = r.random() < (0.5 if bad else 0.0 if lang == "en" else 0.2)
+        words_ = [f"{chr(97 + i % 26)}{j}" + ("$" if marks else "") + ("!" if shout else "") for j in range(60)]
+        rows.append((i, "word " * 9 + " ".join(words_), lang, int(not bad)))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    marked = spark.createDataFrame([(x[0], x[3]) for x in rows if x[2] is not None or x[0] % 40 == 3], "doc_id long, quality int")
+    got = {x.doc_id: x.failed_rules for x in rules.judged(docs, marked).collect()}
+    langs = {lang: {f for x in rows if x[2] == lang for f in got[x[0]]} for lang in ("en", "de", "fr", None)}
+    assert langs == {"en": {"symbols", "bangs"}, "de": {"symbols"}, "fr": set(), None: set()}
+    good = {lang: [bool(got[x[0]]) for x in rows if x[2] == lang and x[3]] for lang in langs}
+    assert all(sum(v) <= 0.05 * len(v) for v in good.values())
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    own = sorted(tuple(x) for x in rules.judged(docs, marked).select(*columns).collect())
+    want = sorted(_duck(ORACLE_SQL["op2_quality_rules"], documents=docs.toArrow(), labels=marked.toArrow()))
+    assert own == want and 100 < sum(not x[-1] for x in own) < 700
 
 
 def test_classifier(spark, edge, labels):
