@@ -125,7 +125,7 @@ class BytePairs:
                 token = tokens.pop()
                 at -= length[token]
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
+    def encode_texts(self, texts: list[str], sizes: list[int] | None = None) -> list[bytes]:
         out = []
         for text in texts:
             ids: list[int] = []

@@ -24,22 +24,24 @@ STARTS, ENDS = rf"^[{SPACE}]|^\z", rf"[{SPACE}]\z|^\z"
 
 
 class PieceEncoder:
-    """Encodes string columns through ``encode_many`` (texts to ids, as unsigned 32-bit bytes) with a memory of at most ``room`` pieces.
+    """Encodes string columns through ``encode_many`` with a memory of at most ``room`` pieces.
 
+    ``encode_many`` takes pieces and, for each, its bytes if it may stand between others of this kind (one space, then neither end
+    is white space), else 0; it gives ids as unsigned 32-bit bytes.
     ``literals``: strings that are matched before the pattern; texts that hold one are encoded in one go.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], room: int = 600_000, literals: list[str] | None = None):
+    def __init__(self, encode_many: Callable[[list[str], list[int]], list[bytes]], room: int = 600_000, literals: list[str] | None = None):
         self.encode_many, self.room, self.known, self.literals = encode_many, room, {}, literals or []
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _ids(self, pieces: list[str], sizes: list[int]) -> list[bytes]:
         out = list(map(self.known.get, pieces))
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            new = list(dict.fromkeys(pieces[i] for i in missing))
+            new = {pieces[i]: sizes[i] for i in missing}
             if len(self.known) + len(new) > self.room:
                 self.known.clear()
-            found = dict(zip(new, self.encode_many(new)))
+            found = dict(zip(new, self.encode_many(list(new), list(new.values()))))
             for i in missing:
                 out[i] = found[pieces[i]]
             self.known.update(found if max(map(len, new)) < 200 else {p: x for p, x in found.items() if len(p) < 200})
@@ -73,7 +75,8 @@ class PieceEncoder:
         keep = ~np.repeat(whole, np.diff(off))
         codes[~keep] = u + n
         codes[first] = u + np.arange(n)
-        ids = self._ids(pieces + heads)
+        sizes = np.where(starts | ends, 0, pc.binary_length(words).to_numpy() + 1).tolist()
+        ids = self._ids(pieces + heads, sizes + [0] * n)
         ids.append(b"")
         flat = np.frombuffer(b"".join(ids), np.uint32)
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -82,11 +85,6 @@ class PieceEncoder:
         return flat[ragged(begin[codes], length[codes])], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _joins(piece: str) -> bool:
-    """Whether a piece may stand between others of this kind: one space, then neither end is white space."""
-    return len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace()
-
-
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
     """The tokenizers library's encoder for the byte-level vocabulary file at ``path``, as with ``add_special_tokens=False``.
@@ -107,16 +105,16 @@ def library_encoder(path: str) -> PieceEncoder:
     def plain(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(texts: list[str]) -> list[bytes]:
+    def many(texts: list[str], sizes: list[int]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        joined = [i for i, t in enumerate(texts) if _joins(t) and not any(x in t for x in literals)]
-        alone = sorted(set(range(len(texts))) - set(joined)) if len(joined) < len(texts) else []
+        joined = [i for i, n in enumerate(sizes) if n]
+        alone = [i for i, n in enumerate(sizes) if not n]
         for at in range(0, len(joined), 300):
             part = joined[at : at + 300]
-            group = [texts[i] for i in part]
-            ids = np.array(tok.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            group = "".join([texts[i] for i in part])
+            ids = np.array(tok.encode_batch_fast([group], add_special_tokens=False)[0].ids, "<u4")
             reach = np.cumsum(size[ids])
-            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in group])
+            ends = np.cumsum([sizes[i] for i in part])
             cut = np.searchsorted(reach, ends) + 1
             if not len(reach) or reach[-1] != ends[-1] or (reach[cut - 1] != ends).any():
                 alone += part  # no such case is known
