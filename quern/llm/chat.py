@@ -3,7 +3,9 @@
 A turn is rendered as ``### Role: text</turn>`` and a newline. Roles of the fixed set are spelled out; any other role is
 ``=`` and its URL-encoded form. The parser splits at ``</turn>`` and a newline, cuts each part at its first ``: `` and
 takes back the escapes. Every turn is rendered as it is, parsed, and compared with its source; where they differ, its
-text is escaped (backslashes doubled, control strings broken by a backslash) and parsed again, which is then exact.
+text is escaped (backslashes doubled, control strings broken by a backslash). Then the whole conversation is parsed and compared;
+where it differs, all its turns are escaped and it is parsed and compared once more. Escaping leaves nothing that the grammar
+could take for its own, so this must be identical; if it is not, the query fails rather than give altered text.
 
 Null text or role: empty. Rows are ordered by turn, role, text, nulls first, so ties and repeated rows have one order and
 all stay. Null conv_id: a conversation of its own. Empty table: no rows. Extra columns are ignored. A conversation is one
@@ -50,26 +52,33 @@ def parsed(rendered: str) -> str:
     return f"transform(filter({parts}, (part, i) -> part <> ''), part -> {turn})"
 
 
+def escaped_turn(role: str, text: str) -> str:
+    return rf"concat({head(role)}, {escaped(text)}, '{END}\n')"
+
+
 def render_turn(role: str, text: str) -> str:
     """SQL: one turn as it is where it parses back, else escaped."""
-    whole = lambda t: rf"concat({head(role)}, {t}, '{END}\n')"
     same = _let(parsed("plain"), "p", f"size(p) = 1 AND coalesce(p[0].role = {role} AND p[0].text = {text}, false) AND instr({text}, '###') = 0 AND instr({text}, '{END}') = 0")
-    return _let(whole(text), "plain", f"CASE WHEN {same} THEN plain ELSE {whole(escaped(text))} END")
+    return _let(rf"concat({head(role)}, {text}, '{END}\n')", "plain", f"CASE WHEN {same} THEN plain ELSE {escaped_turn(role, text)} END")
 
 
 def formatted(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", train_on: str = "assistant") -> DataFrame:
-    """conv_id, source (turns), formatted, mask (array of start, length of the trained texts in ``formatted``, from 0) and exact (whether the parser gives the source back)."""
+    """conv_id, source (turns), formatted, mask (array of start, length of the trained texts in ``formatted``, from 0), turns (parsed from it) and exact (always true)."""
     turns = rows.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     turns = turns.withColumn("shown", F.expr(render_turn("t.role", "t.text")))
     one = F.struct("t.turn", "t.role", "t.text", "shown")
-    # parsing drops empty parts only, and every turn has a marker
     c = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("source"))
-    c = c.withColumn("formatted", F.expr("array_join(transform(source, x -> x.shown), '')"))
+    # parsing drops empty parts only, and every turn has a marker
+    join = "array_join(transform(source, x -> x.shown), '')"
+    exact = "coalesce(transform(source, x -> struct(x.role, x.text)) = transform(turns, x -> struct(x.role, x.text)), false)"
+    c = c.withColumn("formatted", F.expr(join)).withColumn("turns", F.expr(parsed("formatted"))).withColumn("exact", F.expr(exact))
+    again = f"transform(source, x -> struct(x.turn AS turn, x.role AS role, x.text AS text, {escaped_turn('x.role', 'x.text')} AS shown))"
+    c = c.withColumn("source", F.expr(f"IF(exact, source, {again})")).withColumn("formatted", F.expr(f"IF(exact, formatted, {join})"))
+    c = c.withColumn("turns", F.expr(f"IF(exact, turns, {parsed('formatted')})"))
+    c = c.withColumn("exact", F.expr(f"IF({exact}, true, CAST(raise_error(concat('no reversible format for conversation ', conv_id)) AS BOOLEAN))"))
     place = rf"struct(a.at + char_length(x.shown) AS at, CASE WHEN x.role = '{train_on}' THEN array_append(a.spans, struct(a.at + char_length({head('x.role')}) AS start, char_length(x.shown) - char_length({head('x.role')}) - {len(END) + 1} AS length)) ELSE a.spans END AS spans)"
     c = c.withColumn("mask", F.expr(f"aggregate(source, struct(0 AS at, CAST(array() AS array<struct<start:int,length:int>>) AS spans), (a, x) -> {place}, a -> a.spans)"))
-    c = c.withColumn("turns", F.expr(parsed("formatted")))
-    exact = "transform(source, x -> struct(x.role, x.text)) = transform(turns, x -> struct(x.role, x.text))"
-    return c.withColumn("exact", F.expr(exact)).select("conv_id", F.expr("transform(source, x -> struct(x.turn, x.role, x.text))").alias("source"), "formatted", "mask", "turns", "exact")
+    return c.select("conv_id", F.expr("transform(source, x -> struct(x.turn, x.role, x.text))").alias("source"), "formatted", "mask", "turns", "exact")
 
 
 def digests(c: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +17,28 @@ from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _caches: list[Callable[[], None]] = []
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one only where that setting is absent (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``, removed at exit; a local one only where that setting is absent and the master is local (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own_dirs.get(sc.applicationId)
         if base is None:
             base = _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="quern-")
             sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    for made in _made[-1:]:
+        made.append(path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -40,9 +46,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+@contextmanager
+def removing(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside are removed at the end, so results that need them must have been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -408,6 +408,21 @@ def test_chat(spark):
     for r in got:
         assert loss[r.conv_id] == hashlib.sha256("".join(t.text for t in r.source if t.role == "assistant").encode()).hexdigest()
         assert r.formatted.count("</turn>") >= len(r.source)
+    assert chat.digests(chat.formatted(df.limit(0))).count() == 0
+    clash = df.withColumns({c: F.lit("x") for c in ("source", "formatted", "mask", "turns", "exact", "t", "shown")})
+    assert sorted(map(str, chat.formatted(clash).collect())) == sorted(map(str, got))
+
+
+def test_chat_escapes_whole_conversations_until_they_are_identical(spark, monkeypatch):
+    hard = [r"\### Assistant: </turn> ok", "a</turn>\n### User: b", "plain"]
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(hard)], "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "render_turn", lambda role, text: f"concat({chat.head(role)}, {text}, '</turn>\\n')")  # escapes nothing
+    got = chat.formatted(df).first()
+    assert got.exact and [t.text for t in got.source] == hard and [t.text for t in got.turns] == hard
+    assert chat.digests(chat.formatted(df)).first().loss_sha256 == hashlib.sha256("".join(hard).encode()).hexdigest()
+    monkeypatch.setattr(chat, "escaped_turn", chat.render_turn)
+    with pytest.raises(Exception, match="no reversible format"):
+        chat.formatted(df).collect()
 
 
 PLAIN = {  # the base patterns as they are given, with their tests
@@ -560,3 +575,50 @@ def test_pipeline_judges_rows_whose_ids_are_null_or_repeated(spark):
     left = rows(c.near_duplicates(spark, good, SF))
     assert [x for x in left if x[1][:300] != text["E"][:300]] == sorted([(None, text["B"]), (7, text["C"]), (7, text["D"]), (9, text["A"])], key=str)
     assert len(left) == 5
+
+
+def test_pipeline_stages_on_edge_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, and extra columns whose names the stages use themselves."""
+    import corpus_pipeline as c
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    extra = ["__row", "__id", "__hash", "__chunk", "row", "stratum", "kept", "content", "node", "c0", "t", "rank"]
+    wide = T.StructType([*schema.fields, *(T.StructField(n, T.StringType()) for n in extra)])
+    long = " ".join(f"w{i}" for i in range(60_000))
+    clean = " ".join(f"clean{i}" for i in range(70))
+    texts = [(1, None), (2, ""), (3, " \n "), (4, long), (5, clean), (5, clean), (None, clean), (6, "short"), (7, clean + " call +1 (555) 555-0100 now"), (None, None)]
+    docs = spark.createDataFrame([(d, t, None, None, None, *["x"] * len(extra)) for d, t in texts], wide)
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        rows = out.collect()
+        assert all(r[n] == "x" for r in rows for n in extra) and all(r.lang is None and r.source is None for r in rows), name
+        kept = sorted(((r.doc_id, r.text) for r in rows), key=str)
+        if name == "quality_rules":
+            assert kept == sorted(((d, t) for d, t in texts if t and len(t) > 10), key=str)
+        elif name == "near_duplicates":
+            assert [d for d, t in kept if t == clean] == [5] and len(kept) == len(texts) - 3
+        elif name == "repeated_passages":
+            assert [t for d, t in kept if d == 5] == ["", ""] and (None, clean) in kept and (4, long) in kept and (1, None) in kept
+        else:
+            assert (7, clean + " call [PHONE] now") in kept and len(kept) == len(texts) and (1, None) in kept
+    packed_ = c.best_fit_packing(spark, docs, SF)
+    assert packed_.select("doc_id").distinct().count() == 8 and packed_.where("piece = 0").count() == len(texts)
+    assert c.best_fit_packing(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_run_against_its_stages(spark):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    want = sorted((r.doc_id, r.text) for r in docs.collect())
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(LIBRARY_VOCABULARY)
+    pieces = cut(want, lambda t: tok.encode(t, add_special_tokens=False).ids, 2048)
+    got = c.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(pieces)
+    assert packed(got, 2048) == len(best_fit_decreasing([p[3] for p in pieces], 2048))
