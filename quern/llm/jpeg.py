@@ -4,8 +4,12 @@ A payload's bytes, as signed 8-bit numbers, are the zigzag coefficients of 8x8 l
 ones, so a baseline file holds them without loss although baseline JPEG has no lossless mode. Restart markers every
 ``INTERVAL`` blocks cut the scan into segments that numpy decodes side by side, one symbol of each at a step.
 
-Features: width x height, SHA-1 and average hash of the thumbnail made of the DC coefficients. Null text: empty, so
-one block of zeros. Empty table: no rows. Extra columns are ignored; equal texts give equal values.
+Features: width x height, SHA-1 and average hash of the thumbnail made of the DC coefficients. The decoder also reads other
+baseline files of one 8-bit component, each with its own Huffman and quantisation tables, in one batch with ours.
+
+Null text: empty, so one block of zeros. Repeated rows and equal texts: equal values. Very long texts: one file each, encoded
+``GROUP`` blocks at a time, so beyond the text and its file some 40 MB are held; texts over 4 GB would pass JPEG's 65,535 lines.
+Empty table: no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import ragged, slices, text_bytes, written
 
 INTERVAL = 16
+GROUP = 1 << 15  # blocks that are entropy-coded at a time
 
 
 def _tables() -> tuple[dict[int, int], dict[int, int]]:
@@ -144,8 +149,15 @@ def encode(data: np.ndarray, off: np.ndarray) -> list[bytes]:
     parts = -(-held // INTERVAL)
     segment_of = np.cumsum(parts) - parts
     first = np.repeat(first_of, parts) + (np.arange(int(parts.sum())) - np.repeat(segment_of, parts)) * INTERVAL
-    scan, begin = _scan(coef, first)
-    raw, out = scan.tobytes(), []
+    scans, begins, done = [], [], 0
+    cuts = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(coef), GROUP)), len(first)])
+    for i, j in zip(cuts, cuts[1:]):  # segments end at whole bytes
+        a, b = first[i], first[j] if j < len(first) else len(coef)
+        scan, begin = _scan(coef[a:b], first[i:j] - a)
+        scans.append(scan.tobytes())
+        begins.append(begin[:-1] + done)
+        done += len(scan)
+    raw, begin, out = b"".join(scans), np.concatenate([*begins, [done]]).astype(np.int64), []
     for i, (a, d) in enumerate(shapes):
         s, n = int(segment_of[i]), int(parts[i])
         pieces = [_header(a * 8, d * 8, int(off[i + 1] - off[i]))]
@@ -178,13 +190,16 @@ def parse(data: bytes) -> dict:
     while True:
         if data[at] != 0xFF:
             raise ValueError("no marker where one must be")
+        while data[at + 1] == 0xFF:  # fill bytes
+            at += 1
         kind, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + n]
         at += 2 + n
         if kind == 0xC0:
             out["bits"], out["height"], out["width"], parts = struct.unpack_from(">BHHB", body)
-            if out["bits"] != 8 or parts != 1:
-                raise ValueError("only 8-bit files of one component")
+            if out["bits"] != 8 or parts != 1 or not out["height"]:
+                raise ValueError("only 8-bit files of one component and known height")
+            out["quantiser"] = body[8]
         elif kind in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
             raise ValueError("not baseline")
         elif kind == 0xC4:
@@ -194,13 +209,15 @@ def parse(data: bytes) -> dict:
         elif kind == 0xDB:
             while body:
                 n = 1 + 64 * (1 + (body[0] >> 4))
-                out["dqt"][body[0] & 15], body = body[1:n], body[n:]
+                out["dqt"][body[0] & 15], body = struct.unpack(">64H" if body[0] >> 4 else "64B", body[1:n]), body[n:]
         elif kind == 0xDD:
             out["restart"] = struct.unpack(">H", body)[0]
         elif kind == 0xFE and body[:7] == b"payload":
             out["size"] = struct.unpack(">Q", body[7:])[0]
         elif kind == 0xDA:
-            out["scan"] = (at, len(data) - 2)
+            end = data.rfind(b"\xff\xd9")
+            out["scan"] = (at, end if end >= at else len(data))
+            out["tables"] = (bytes(out["dht"][0x10 | body[2] & 15]), bytes(out["dht"][body[2] >> 4]))  # AC, DC
             return out
 
 
@@ -227,12 +244,13 @@ def coefficients(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[dict]
     every = np.array([h["restart"] or 1 << 62 for h in heads], np.int64)[owner]
     nth = np.arange(len(starts)) - np.searchsorted(owner, owner, side="left")
     n_blocks = np.minimum(every, blocks[owner] - nth * every)
-    if (n_blocks <= 0).any() or len(np.unique([tuple(h["dht"].values()) for h in heads], axis=0)) > 1:
-        raise ValueError("restart intervals don't match the frame, or tables differ within one batch")
+    if (n_blocks <= 0).any():
+        raise ValueError("restart intervals don't match the frame")
     block = block_at[owner] + nth * every
     first_block, last = block.copy(), block + n_blocks
-    dht = heads[0]["dht"]
-    lut = np.concatenate([_lut(dht[0x10]), _lut(dht[0])])
+    kinds = {t: i for i, t in enumerate(dict.fromkeys(h["tables"] for h in heads))}
+    lut = np.concatenate([_lut(t) for pair in kinds for t in pair])
+    base = np.array([kinds[h["tables"]] for h in heads], np.int64)[owner] << 17
     out = np.zeros((int(blocks.sum()), 64), np.int16).ravel()
     view = np.ndarray(len(clean) - 8, "<u8", clean.data, strides=(1,))
     pos, k = seg_at * 8, np.zeros(len(starts), np.int64)
@@ -240,7 +258,9 @@ def coefficients(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[dict]
     step = 0
     while len(pos):
         w = view[pos >> 3].byteswap() << (pos & 7).astype(np.uint64)
-        e = lut[(w >> np.uint64(48)).astype(np.int64) + ((k == 0) << 16)]
+        e = lut[(w >> np.uint64(48)).astype(np.int64) + ((k == 0) << 16) + base]
+        if (e == 0).any():
+            raise ValueError("no such code")
         length, bits, run = e & 31, e >> 5 & 15, e >> 9
         v = ((w << length.astype(np.uint64)) >> u1 >> (u6 - bits.astype(np.uint64))).astype(np.int64)
         v = np.where(v < (1 << bits) >> 1, v - (1 << bits) + 1, v)
@@ -257,23 +277,22 @@ def coefficients(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[dict]
         if step % 64 == 0 or len(pos) < 64:
             left = block < last
             if not left.all():
-                pos, k, block, last = pos[left], k[left], block[left], last[left]
+                pos, k, block, last, base = pos[left], k[left], block[left], last[left], base[left]
         else:  # finished segments must stand still until the next clearing
             done = block >= last
             if done.any():
                 left = ~done
-                pos, k, block, last = pos[left], k[left], block[left], last[left]
+                pos, k, block, last, base = pos[left], k[left], block[left], last[left], base[left]
     out = out.reshape(-1, 64)
     total = np.cumsum(out[:, 0].astype(np.int64))
-    base = np.r_[0, total][first_block]
     n = np.diff(np.r_[first_block, len(out)])
-    out[:, 0] = total - np.repeat(base, n)
+    out[:, 0] = total - np.repeat(np.r_[0, total][first_block], n)
     return out, block_at, heads
 
 
 def thumbnail(coef: np.ndarray, head: dict) -> np.ndarray:
     """Luminance by block from the DC coefficients alone."""
-    q = head["dqt"][0][0]
+    q = head["dqt"][head["quantiser"]][0]
     light = np.clip((coef[:, 0].astype(np.int64) * q + 4) // 8 + 128, 0, 255).astype(np.uint8)
     return light.reshape(-(-head["height"] // 8), -1)
 

@@ -222,6 +222,77 @@ def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(RANKS, P.PATTERN)[0].ranks, special_tokens={})
 
 
+def foreign_jpeg(blocks, width, height, dc_len, ac_len, restart, quantiser):
+    """A baseline file written bit by bit, with tables of its own; blocks: zigzag coefficients."""
+    (dc, dc_body), (ac, ac_body) = jpeg._codes(dc_len), jpeg._codes(ac_len)
+    seg = lambda m, b: bytes((0xFF, m)) + (len(b) + 2).to_bytes(2, "big") + b
+    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + seg(0xDB, b"\x13" + b"".join(q.to_bytes(2, "big") for q in quantiser))
+    out += seg(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\1\1\x11\3") + b"\xff" + seg(0xC4, b"\1" + dc_body + b"\x12" + ac_body)
+    out += (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"") + seg(0xDA, b"\1\1\x12\0\x3f\0")
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    bits, last, nth, step = "", 0, 0, restart or len(blocks)
+    for i in range(0, len(blocks), step):
+        for block in blocks[i : i + step]:
+            n, tail = number(block[0] - last)
+            last = block[0]
+            bits += format(dc[n], f"0{dc_len[n]}b") + tail
+            run = 0
+            for k in range(1, 64):
+                if not block[k]:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits, run = bits + format(ac[0xF0], f"0{ac_len[0xF0]}b"), run - 16
+                n, tail = number(block[k])
+                bits, run = bits + format(ac[run << 4 | n], f"0{ac_len[run << 4 | n]}b") + tail, 0
+            if run:
+                bits += format(ac[0], f"0{ac_len[0]}b")
+        bits += "1" * (-len(bits) % 8)
+        out += bytes(int(bits[j : j + 8], 2) for j in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits, last = "", 0
+        if i + step < len(blocks):
+            out += bytes((0xFF, 0xD0 + nth % 8))
+            nth += 1
+    return out + b"\xff\xd9trailing bytes"
+
+
+def test_foreign_files_with_their_own_tables_in_one_batch():
+    r = random.Random(4)
+    ac_one = {run << 4 | n: 9 + (run % 3) for run in range(16) for n in range(1, 11)} | {0xF0: 11, 0: 3}
+    ac_two = {run << 4 | n: 12 for run in range(16) for n in range(1, 11)} | {0xF0: 5, 0: 2}
+    files, want = [], []
+    for k in range(6):
+        w, h = r.choice([(8, 8), (17, 9), (40, 33), (64, 16)])
+        blocks = [[r.randint(-900, 900)] + [r.choice([0] * 9 + [r.randint(-500, 500)]) for _ in range(63)] for _ in range(-(-w // 8) * -(-h // 8))]
+        files.append(foreign_jpeg(blocks, w, h, {n: 4 + (n > 5) * (k % 2) for n in range(12)}, (ac_one, ac_two)[k % 2], (0, 3)[k // 3], [300 + k] * 64))
+        want.append(blocks)
+    payload = np.arange(640, dtype=np.int64).astype(np.uint8)
+    files.insert(2, jpeg.encode(payload, np.array([0, 640]))[0])
+    coef, at, heads = jpeg.coefficients(files)
+    ends = [*at.tolist()[1:], len(coef)]
+    assert coef[at[2] : ends[2]].astype(np.uint8).tobytes()[:640] == payload.tobytes()
+    for i, blocks in zip([0, 1, 3, 4, 5, 6], want):
+        assert coef[at[i] : ends[i]].tolist() == blocks
+        light = [min(255, max(0, (b[0] * heads[i]["dqt"][3][0] + 4) // 8 + 128)) for b in blocks]
+        assert jpeg.thumbnail(coef[at[i] : ends[i]], heads[i]).ravel().tolist() == light
+    for bad in (b"GIF89a", files[0].replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            jpeg.parse(bad)
+
+
+def test_long_payloads_are_encoded_a_group_at_a_time(monkeypatch):
+    r = np.random.default_rng(8)
+    payloads = [r.choice([0, 0, 97, 255], 64 * n).astype(np.uint8) for n in (1, 300, 17, 1000)]
+    off = np.r_[0, np.cumsum(list(map(len, payloads)))]
+    whole = jpeg.encode(np.concatenate(payloads), off)
+    monkeypatch.setattr(jpeg, "GROUP", 64)
+    assert jpeg.encode(np.concatenate(payloads), off) == whole
+
+
 LITERALS = [(20, "see <|endoftext|> here"), (21, "see<|endoftext|>here  <|endoftext|>"), (22, "a\n <|endoftext|>\n b <|endoftext"), (23, " <|endoftext|>"), (6, "another text of id six"), (None, "and another without id")]
 
 
