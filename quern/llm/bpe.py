@@ -6,8 +6,9 @@ compatible (encode the concatenation of the two and the two come back), so the e
 place, checks it against the token before, and falls back to the token's next shorter prefix, or to the token before
 it, where they don't go together. Places that turned out dead are remembered: linear time in the bytes of a pre-token.
 
-Null text: empty, no ids, digests of nothing. Empty table: no rows. Extra columns are ignored. Long texts are encoded
-whole: pre-tokens are independent, and a long pre-token takes linear time and memory.
+Null text: empty, no ids, digests of nothing. Repeated rows: equal results, one row each. Special tokens spelled out in a text
+are plain text. Empty table: no rows. Extra columns are ignored, whatever their names. Long texts are encoded whole: pre-tokens
+are independent, and a long pre-token takes linear time and memory.
 """
 
 from __future__ import annotations

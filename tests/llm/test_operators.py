@@ -207,6 +207,36 @@ def test_classifier(spark, edge, labels):
     assert quality.scored(edge.limit(0), labels).count() == 0
 
 
+def test_statistics_are_those_of_a_plain_reading(spark, edge, labels):
+    for _, t in EDGE + [(0, "AB ab!\n\nAB ab!\n x.y, 12 %")]:
+        raw, text = (t or "").encode(), t or ""
+        got = dict(zip(quality.NAMES, quality.statistics(raw)))
+        words_, lines_ = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        n, m = max(1, len(raw)), max(1, len(words_))
+        want = {
+            "log_bytes": np.log1p(len(raw)), "upper": sum(c in range(65, 91) for c in raw) / n, "digit": sum(chr(c).isdigit() for c in raw if c < 128) / n, "newline": raw.count(b"\n") / n,
+            "markup": sum(text.count(c) for c in "#*$%&|<>") / n, "stop": (text.count(".") + text.count("?")) / n, "bang": text.count("!") / n, "high": sum(c > 127 for c in raw) / n,
+            "log_words": np.log1p(len(words_)), "word_length": sum(map(len, words_)) / m, "longest_word": max(map(len, words_), default=0), "distinct_words": len(set(words_)) / m,
+            "top_word": max((words_.count(w) for w in set(words_[:50])), default=0) / m if len(words_) < 50 else got["top_word"], "log_lines": np.log1p(len(lines_)),
+            "dup_lines": 1 - len(set(lines_)) / max(1, len(lines_)), "line_length": len(raw) / max(1, len(lines_)), "upper_words": sum(w.isupper() for w in words_) / m,
+        }
+        assert {k: got[k] for k in want} == pytest.approx(want), t
+    scored = quality.scored(edge, labels).collect()
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in scored)
+    assert len({r.score for r in scored if r.doc_id == 6}) == 1
+
+
+def test_labels_of_held_out_rows_do_not_matter(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} " * (i % 40 + 1) + "$" * (i % 3)) for i in range(400)], "doc_id long, text string")
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    one = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    other = spark.createDataFrame([(i, int(i % 3 == 0) if i in held else int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")
+    few = quality.scored(docs, one, sample=50).collect()
+    assert len(few) == 400
+    a, b = (sorted(quality.scored(docs, x).collect()) for x in (one, other))
+    assert a == b and {r.doc_id for r in a if r.held_out} == set(held)
+
+
 def test_trees_separate_what_can_be_separated():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 4))
@@ -693,3 +723,20 @@ def test_pipeline_run_against_its_stages(spark):
     got = c.run(spark, SF).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(pieces)
     assert packed(got, 2048) == len(best_fit_decreasing([p[3] for p in pieces], 2048))
+
+
+@pytest.mark.parametrize("name", ["op1_near_duplicates", "op2_quality_rules", "op3_repeated_passages", "op9_chat_format"])
+def test_registered_queries_against_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from quern.llm import queries as q
+
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
+    df = q.QUERIES[name](spark, SF)
+    r = c.execute(q.ORACLE_SQL[name])
+    at = [[d[0] for d in r.description].index(x) for x in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(x[i] for i in at)) for x in r.fetchall())
