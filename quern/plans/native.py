@@ -15,7 +15,7 @@ from typing import Any
 
 from quern.functions import json_sql as J
 from quern.functions.codes import CODES
-from quern.functions.regex import to_java
+from quern.functions.regex import linear, to_java
 from quern.plans.schema import SchemaNode, escape, is_recursive, reachable
 
 SCALARS = frozenset({"string", "number", "integer", "boolean", "null"})
@@ -97,8 +97,8 @@ def _scalar_items(n: SchemaNode) -> bool:
 
 
 def is_native(root: SchemaNode) -> bool:
-    """Whether every keyword can be expressed: only recursion can't."""
-    return not is_recursive(root)
+    """Whether every keyword can be expressed: recursion can't, and patterns that Java might match for ever aren't."""
+    return not is_recursive(root) and not any(linear(p) for n in reachable(root) for p in [n.pattern, *n.patterns, *n.known[1]] if p is not None)
 
 
 #: Texts in which numbers that are equal as doubles may have different canonical texts: exponents, and more than 15 digits.

@@ -141,3 +141,48 @@ def test_reports(spark):
     got = {(r.path, r.keyword, r.code) for r in report(df, schema, "doc").collect()}
     assert got == {("/a~1b/0", "type", 1), ("/a~1b/1", "minimum", 3), ("/c", "maxLength", 12), ("", "json", 32)}
     assert {r.error_code: r.documents for r in error_counts(df, schema, "doc").collect()} == {1: 1, 0: 1, 32: 1}
+
+
+def test_deeply_nested_objects_stay_native():
+    for keyword in ("items", "properties", "allOf"):
+        raw = {"maximum": 1}
+        for _ in range(12):
+            raw = {"type": "object", "required": ["a"], "properties": {"a": raw}} if keyword == "properties" else {keyword: [raw] if keyword == "allOf" else raw}
+        schema = compile_schema(json.dumps(raw))
+        assert schema.tier == "native"
+        assert all(len(schema.sql(what, "doc")) < 60_000 for what in ("valid", "error_code", "violations"))
+
+
+def test_a_schema_too_large_for_one_expression_goes_to_the_other_tier(spark):
+    raw = {"properties": {f"p{i}": {"items": {"type": "integer", "minimum": i}} for i in range(3000)}}
+    schema = compile_schema(json.dumps(raw))
+    assert schema.tier == "arrow"
+    df = spark.createDataFrame([('{"p7":[9,3]}',)], "doc string")
+    assert [(r.path, r.code) for r in report(df, schema, "doc").collect()] == [("/p7/1", 3)]
+
+
+@pytest.mark.parametrize(("pattern", "good", "bad"), [
+    ("^(a+)+$", ["a" * 40], ["a" * 5000 + "b"]),
+    ("^(a|aa)*c$", ["aac"], ["a" * 20000]),
+    ("^(x|\\u00e9|[^\\d])*$", ["xé" * 6000], ["x1"]),
+    ("^([a-z]+ ?)*[.]\\S$", ["ab cd ef.x"], ["ab " * 3000 + "!"]),
+])
+def test_patterns_that_would_backtrack(spark, pattern, good, bad):
+    schema = compile_schema(json.dumps({"items": {"pattern": pattern}}))
+    assert schema.tier == "arrow"
+    docs = [json.dumps([t]) for t in good + bad]
+    assert verdicts(spark, schema, docs) == [(w, w, w) for w in [True] * len(good) + [False] * len(bad)]
+
+
+def test_plain_patterns_stay_native():
+    for p in ("^a\\d+$", "(foo|bar)", "^[A-Z]{2}-(\\d{3})+$", "(?=x)(a+)+", "a*b*c?"):
+        assert compile_schema(json.dumps({"pattern": p})).tier == "native", p
+
+
+@pytest.mark.parametrize(("text", "good"), [
+    ("[[1],[1.0]]", False), ("[[1],[1e0]]", False), ("[[0.1],[0.1000000000000000055]]", False), ('[{"a":-0.0},{"a":0}]', False), ('["1",1,"c1"]', True),
+    ('[{"a":1,"b":2},{"b":2,"a":1}]', False), ('[{"a":"x"},{"a":["x"]}]', True), ('["{}",{}]', True), ("[null,\"null\",false,\"false\"]", True), ("[12345678901234567890,12345678901234567891]", False)])
+def test_deep_uniqueness_in_both_tiers(spark, text, good):
+    native, arrow = (compile_schema('{"uniqueItems":true}', tier=t) for t in ("native", "arrow"))
+    assert native.is_valid(text) == good
+    assert verdicts(spark, native, [text]) == verdicts(spark, arrow, [text]) == [(good, good, good)]
