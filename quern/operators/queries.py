@@ -33,7 +33,7 @@ def _rows(name: str, table: str, key: str | list[str], doc: Callable[[], Column]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         compiled = compile_schema(text, mode=mode)
-        return _table(spark, sf_dir, table).select(*keys, compiled.valid(doc()).alias("valid"))
+        return compiled.over(_table(spark, sf_dir, table), doc(), valid="valid").select(*keys, "valid")
 
     _add(name, run, f"SELECT {', '.join(keys)}, coalesce({valid}, false) AS valid FROM {table}")
 
@@ -45,7 +45,7 @@ def _orders(name: str, element: str, schema: object, valid: str, order: str | No
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         compiled = compile_schema(text)
         by = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(element)).alias("a"))
-        return by.select("l_orderkey", compiled.valid(F.to_json("a")).alias("valid"))
+        return compiled.over(by, F.to_json("a"), valid="valid").select("l_orderkey", "valid")
 
     _add(name, run, f"SELECT l_orderkey, {valid} AS valid FROM lineitem GROUP BY l_orderkey")
 
@@ -55,7 +55,7 @@ def _code(name: str, table: str, key: str | list[str], doc: Callable[[], Column]
     keys = [key] if isinstance(key, str) else key
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _table(spark, sf_dir, table).select(*keys, compile_schema(json.dumps(schema)).error_code(doc()).alias("error_code"))
+        return compile_schema(json.dumps(schema)).over(_table(spark, sf_dir, table), doc(), error_code="error_code").select(*keys, "error_code")
 
     _add(f"code_{name}", run, f"SELECT {', '.join(keys)}, (CASE {code} ELSE 0 END)::INT AS error_code FROM {table}")
 
@@ -65,7 +65,7 @@ def _order_code(name: str, element: str, schema: object, code: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         by = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(element)).alias("a"))
-        return by.select("l_orderkey", compile_schema(json.dumps(schema)).error_code(F.to_json("a")).alias("error_code"))
+        return compile_schema(json.dumps(schema)).over(by, F.to_json("a"), error_code="error_code").select("l_orderkey", "error_code")
 
     _add(f"code_{name}", run, f"SELECT l_orderkey, (CASE {code} ELSE 0 END)::INT AS error_code FROM lineitem GROUP BY l_orderkey")
 

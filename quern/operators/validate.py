@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.codes import CODES
 from quern.operators.interpreter import Interpreter
-from quern.plans.native import INEXACT, VIOLATION, Emitter, TooLarge, compares_texts, expression, is_native
+from quern.plans.native import INEXACT, VIOLATION, Emitter, TooLarge, compares_texts, expression, is_native, layers
 from quern.plans.schema import SchemaNode, parse_schema, reachable
 
 
@@ -74,6 +74,22 @@ class CompiledSchema:
         """All violations: array of struct(path, keyword, code)."""
         return self._apply("violations", doc, large)
 
+    def over(self, df: DataFrame, doc: Column | str, **names: str) -> DataFrame:
+        """``df`` with ``valid``, ``error_code`` or ``violations`` of ``doc`` as columns of the given names.
+
+        In the native tier this runs as generated code; the columns of ``valid`` and its like hold the same, but are interpreted.
+        """
+        doc = F.col(doc) if isinstance(doc, str) else doc
+        if self.tier != "native" or self.by_text:
+            return df.withColumns({name: self._apply(what, doc, False) for what, name in names.items()})
+        prefix = "_quern_" + "_" * max(map(len, df.columns), default=0)  # no column starts so
+        projections, verdicts = layers(self.root, f"{prefix}text", list(names), prefix)
+        out, made = df.withColumn(f"{prefix}text", F.when(F.spark_partition_id() >= 0, doc.cast("string"))), [f"{prefix}text"]
+        for layer in projections:
+            out = out.select("*", *(F.expr(sql).alias(name) for name, sql in layer.items()))
+            made += layer
+        return out.withColumns({name: F.expr(verdicts[what]) for what, name in names.items()}).drop(*made)
+
     @cached_property
     def _arrow(self) -> dict:
         python = self.python
@@ -159,18 +175,18 @@ def compile_schema(text: str, *, base_uri: str = "", mode: str = "spec", tier: s
 
 
 def with_verdict(df: DataFrame, schema: CompiledSchema, doc: str, *, valid: str = "valid", error_code: str | None = None) -> DataFrame:
-    out = df.withColumn(valid, schema.valid(doc))
-    return out if error_code is None else out.withColumn(error_code, schema.error_code(doc))
+    return schema.over(df, doc, valid=valid, **({} if error_code is None else {"error_code": error_code}))
 
 
 def report(df: DataFrame, schema: CompiledSchema, doc: str) -> DataFrame:
     """A row for each violation: the columns of ``df``, path, keyword, code."""
-    return df.withColumn("violation", F.explode(schema.violations(doc))).select(*df.columns, "violation.path", "violation.keyword", "violation.code")
+    found = "violation" + "_" * max(map(len, df.columns))
+    return schema.over(df, doc, violations=found).withColumn(found, F.explode(found)).select(*(F.col(f"`{c}`") for c in df.columns), f"{found}.path", f"{found}.keyword", f"{found}.code")
 
 
 def error_counts(df: DataFrame, schema: CompiledSchema, doc: str) -> DataFrame:
     """Documents by error code."""
-    return df.groupBy(schema.error_code(doc).alias("error_code")).agg(F.count("*").alias("documents"))
+    return schema.over(df.select(F.col(doc).alias("doc")), "doc", error_code="error_code").groupBy("error_code").agg(F.count("*").alias("documents"))
 
 
 def valid_by_key(df: DataFrame, schemas: Mapping[str, CompiledSchema], key: str, doc: str, *, default: bool = False) -> Column:

@@ -3,6 +3,10 @@
 A value is bound once, as a struct of what the schema looks at: the members it names (``o``, one typed extraction), all entries
 (``m``) where it must see every name, elements (``a``), the number (``d``), the string (``s``) and the type's name (``t``). Each
 of these is NULL for values of other types. Every check is never NULL, so negation and counting are safe.
+
+There are two renderings. ``expression`` is one SQL expression, in which a value is bound by a lambda, and so can be used
+wherever a column can. ``layers`` is a stack of projections in which values that lie at fixed places are columns; it needs the
+DataFrame, but runs as generated code, while lambdas are interpreted.
 """
 
 from __future__ import annotations
@@ -49,6 +53,7 @@ class Place:
 
     base: str
     path: str = "$"
+    layer: int | None = None  # in which projection the base is a column; None inside lambdas
 
     def get(self, kind: str) -> str:
         return self.base if kind == "variant" and self.path == "$" else f"try_variant_get({self.base}, '{self.path}', {J.text(kind)})"
@@ -68,9 +73,10 @@ class Bound:
 
     name: str
     forms: frozenset[str]
+    layer: int | None = None
 
     def of(self, form: str) -> str:
-        return f"{self.name}.{form}"
+        return f"{self.name}{'.' if self.layer is None else '_'}{form}"
 
     def is_(self, kind: str) -> str:
         if kind == "object" and self.forms & {"o", "m"}:
@@ -83,7 +89,11 @@ class Bound:
         return f"map_contains_key({self.of('m')}, {J.text(key)})" if "m" in self.forms else f"{self.of('o')}.{J.field(key)} IS NOT NULL"
 
     def at(self, key: str) -> Place:
-        return Place(f"{self.of('m')}[{J.text(key)}]" if "m" in self.forms else f"{self.of('o')}.{J.field(key)}")
+        return self.place(f"{self.of('m')}[{J.text(key)}]" if "m" in self.forms else f"{self.of('o')}.{J.field(key)}")
+
+    def place(self, base: str) -> Place:
+        """A place that ``base``, over this value's forms, names."""
+        return Place(base, layer=self.layer)
 
 
 def _scalar_items(n: SchemaNode) -> bool:
@@ -111,9 +121,11 @@ def compares_texts(root: SchemaNode) -> bool:
 
 
 class Emitter:
-    def __init__(self) -> None:
-        self.serial, self.spent = count(), 0
+    def __init__(self, prefix: str = "") -> None:
+        self.serial, self.spent, self.prefix = count(), 0, prefix
         self._empty: dict[int, bool] = {}
+        self.layers: list[dict[str, str]] = []
+        self._bound: dict[tuple[Place, int], tuple[SchemaNode | None, Bound]] = {}
 
     # --- simplification ----------------------------------------------------------------------------------------------
 
@@ -181,11 +193,13 @@ class Emitter:
         need = self.needs(n)
         if not need.forms:  # nothing but branches that take all or nothing
             return body(Bound("none", frozenset()))
+        if place.layer is not None:
+            return body(self._columns(place, n, need))
         if not re.fullmatch(r"[\w.`]+", place.base):  # evaluated once
             w = f"w{next(self.serial)}"
             return J.let(place.base, w, self.bind(Place(w, place.path), n, body))
         x = f"x{next(self.serial)}"
-        kinds = {"o": f"struct<{','.join(f'{J.field(k)}:variant' for k in need.names)}>", "m": "map<string,variant>", "a": "array<variant>", "d": "double", "s": "string", "b": "boolean"}
+        kinds = _kinds(need)
         forms = [f for f in kinds if f in need.forms]
         parts = [f"{place.get(kinds[f])} AS {f}" for f in forms]
         holders = [f for f in "oma" if f in need.forms]
@@ -200,6 +214,30 @@ class Emitter:
         typed = f"CASE WHEN {' AND '.join(f'{y}.{f} IS NULL' for f in holders)} THEN {tag} ELSE '' END"
         return J.let(f"struct({', '.join(parts)})", y, J.let(f"struct({', '.join([*(f'{y}.{f} AS {f}' for f in forms), f'{typed} AS t'])})", x, body(known)))
 
+    def _columns(self, place: Place, n: SchemaNode | None, need: Needs) -> Bound:
+        """The value at ``place`` as columns, one for each form; the same columns wherever it is asked for again."""
+        key = (place, id(n))
+        if key not in self._bound:
+            x, at, kinds = f"{self.prefix}x{next(self.serial)}", place.layer, _kinds(need)
+            if not re.fullmatch(r"[\w.`]+", place.base):
+                self._column(f"{x}_v", place.base, at + 1)
+                place, at = Place(f"{x}_v", place.path), at + 1
+            for f in kinds:
+                if f in need.forms:
+                    self._column(f"{x}_{f}", place.get(kinds[f]), at + 1)
+            holders, last = [f for f in "oma" if f in need.forms], at + 1
+            if "t" in need.forms:
+                tag, last = J.tag(place.get("variant")), at + 1 + bool(holders)
+                known = " AND ".join(f"{x}_{f} IS NULL" for f in holders)
+                self._column(f"{x}_t", f"CASE WHEN {known} THEN {tag} ELSE '' END" if holders else tag, last)
+            self._bound[key] = (n, Bound(x, frozenset(need.forms), last))  # n is held so that no other gets its id
+        return self._bound[key][1]
+
+    def _column(self, name: str, sql: str, layer: int) -> None:
+        while len(self.layers) <= layer:
+            self.layers.append({})
+        self.layers[layer][name] = sql
+
     # --- verdicts ----------------------------------------------------------------------------------------------------
 
     def ok(self, n: SchemaNode, x: Bound) -> str:
@@ -332,7 +370,7 @@ class Emitter:
                 if item.ref is None and item.always is False:
                     add("items", "ARRAY", "array", f"size({a}) <= {i}", None, lambda path, i=i: _one(f"concat({path}, '/{i}')", "items", str(CODES["ARRAY"])))
                 elif not self.empty(item):
-                    at = Place(f"get({a}, {i})")
+                    at = x.place(f"get({a}, {i})")
                     add("items", "ARRAY", "array", f"(size({a}) <= {i} OR {self.child(item, at)})", lambda at=at, item=item: self.bind(at, item, lambda y: self.code(item, y)),
                         lambda path, at=at, item=item, i=i: self.bind(at, item, lambda y: self.violations(item, y, f"concat({path}, '/{i}')")))
             if not self.empty(n.additional_items):
@@ -408,7 +446,7 @@ class Emitter:
             elif isinstance(v, bool):
                 tests.append(f"({x.is_('boolean')} AND {x.of('b')} = {str(v).lower()})")
             elif isinstance(v, list):
-                each = [f"(size({x.of('a')}) <= {i} OR {self.constant(Place(f'get({x.of(chr(97))}, {i})'), c, prefix)})" for i, c in enumerate(v)]
+                each = [f"(size({x.of('a')}) <= {i} OR {self.constant(x.place(f'get({x.of(chr(97))}, {i})'), c, prefix)})" for i, c in enumerate(v)]
                 tests.append(f"({' AND '.join([x.is_('array'), f'size({x.of(chr(97))}) {chr(60) if prefix else str()}= {len(v)}', *each])})")
             elif isinstance(v, dict):
                 each = [f"{x.has(k)} AND {self.constant(x.at(k), c, prefix)}" for k, c in v.items()]
@@ -420,13 +458,35 @@ class Emitter:
         return f"coalesce({self.bind(place, SchemaNode(const=[value]), lambda y: self.among(y, [value], prefix))}, false)"
 
 
+def _kinds(need: Needs) -> dict[str, str]:
+    """The SQL type of each form."""
+    members = ",".join(f"{J.field(k)}:variant" for k in need.names)
+    return {"o": f"struct<{members}>", "m": "map<string,variant>", "a": "array<variant>", "d": "double", "s": "string", "b": "boolean"}
+
+
 def _one(path: str, keyword: str, code: str) -> str:
     return f"array(struct({path} AS path, '{keyword}' AS keyword, {code} AS code))"
 
 
-def expression(root: SchemaNode, doc: str, what: str) -> str:
-    """SQL for ``valid``, ``error_code`` or ``violations`` of the JSON text ``doc``."""
-    e = Emitter()
+def _verdict(e: Emitter, root: SchemaNode, what: str, doc: str, place: Place) -> str:
     over = {"valid": lambda x: e.ok(root, x), "error_code": lambda x: e.code(root, x), "violations": lambda x: e.violations(root, x, "''")}[what]
     bad = {"valid": "false", "error_code": str(CODES["JSON"]), "violations": _one("''", "json", str(CODES["JSON"]))}[what]
-    return J.let(J.wrapped(doc), "doc_", f"IF({J.is_whole('doc_', doc)}, {e.bind(Place('doc_', J.FIRST), root, over)}, {bad})")
+    return f"IF({J.is_whole(place.base, doc)}, {e.bind(place, root, over)}, {bad})"
+
+
+def expression(root: SchemaNode, doc: str, what: str) -> str:
+    """SQL for ``valid``, ``error_code`` or ``violations`` of the JSON text ``doc``."""
+    return J.let(J.wrapped(doc), "doc_", _verdict(Emitter(), root, what, doc, Place("doc_", J.FIRST)))
+
+
+def layers(root: SchemaNode, doc: str, whats: list[str], prefix: str) -> tuple[list[dict[str, str]], dict[str, str]]:
+    """Projections to put over each other, column by column, from the JSON text in column ``doc``, and the SQL of each of ``whats`` over them.
+
+    Every column is marked as not deterministic (which costs nothing), so that the optimiser neither merges a projection into
+    those above, which would parse a document as often as it is looked at, nor moves filters on verdicts below it.
+    """
+    e = Emitter(prefix)
+    parsed = f"{prefix}doc"
+    e._column(parsed, J.wrapped(doc), 0)
+    verdicts = {what: _verdict(e, root, what, doc, Place(parsed, J.FIRST, 0)) for what in whats}
+    return [{name: f"IF(spark_partition_id() < 0, NULL, {sql})" for name, sql in layer.items()} for layer in e.layers], verdicts

@@ -22,7 +22,7 @@ def validated(stream: DataFrame, schema: CompiledSchema, doc: str) -> DataFrame:
 def verdicts_by_window(stream: DataFrame, schema: CompiledSchema, doc: str, time: str, *, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Documents by window and error code; state is dropped ``late`` after a window's end."""
     w = F.window(time, width)
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withColumn("error_code", schema.error_code(doc))
+    timed = schema.over(stream.withColumn(time, F.col(time).cast("timestamp")), doc, error_code="error_code")
     by = timed.withWatermark(time, late).groupBy(w, "error_code")
     return by.agg(F.count("*").alias("documents")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "error_code", "documents")
 

@@ -65,7 +65,10 @@ def found(spark, schema, docs: list) -> list[tuple]:
     """Error code, and all violations in order: path, keyword, code."""
     df = spark.createDataFrame(list(enumerate(docs)), "i int, doc string").coalesce(1)
     rows = df.select("i", schema.error_code("doc").alias("c"), schema.violations("doc").alias("x")).collect()
-    return [(r["c"], [tuple(x) for x in r["x"]]) for r in sorted(rows)]
+    out = [(r["c"], [tuple(x) for x in r["x"]]) for r in sorted(rows)]
+    layered = schema.over(df, "doc", valid="v", error_code="c", violations="x").collect()
+    assert [(r["c"], [tuple(x) for x in r["x"]]) for r in sorted(layered)] == out and all(r["v"] == (r["c"] == 0) for r in layered)
+    return out
 
 
 @pytest.mark.parametrize("i", range(len(CASES)))
