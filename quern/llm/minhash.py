@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import joined_by_key, ragged, release_caches, slices, small_batches, written
+from .shared import joined_by_key, ragged, release_caches, settled, slices, small_batches, tidy, written
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -185,7 +185,9 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
 
     ``docs`` is read twice, so it should be a table or cheap to make anew, and in the same order each time.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    tidy(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +204,18 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(off)), pa.array(whole, pa.binary()), lists, pa.array(sketches, pa.binary())], ["doc_id", "row", "n", "content", "bands", "sketch"])
 
     signed = written(source.mapInArrow(sign, "doc_id long, row long, n long, content binary, bands array<long>, sketch binary"))
+    by_root = settled(spark, lambda: _rooted(source, signed, width, percent, rounds, block, exact))
+    total, rows_ = by_root.count(), signed.count()
+    least = by_root.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("classes"))
+    of_class = joined_by_key(by_root.select("root", "content", "copies"), least, "root", "classes", total).drop("root")
+    out = joined_by_key(signed.where("n > 0").select("doc_id", "n", "content"), written(of_class), "content", "copies", rows_).drop("content")
+    out = out.unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _rooted(source: DataFrame, signed: DataFrame, width: int, percent: int, rounds: int, block: int, exact: bool) -> DataFrame:
+    """The classes of equal sets, each with the root of its component: node, content, least_id, copies, root."""
     classes = signed.where("n > 0").groupBy("content").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -259,11 +273,4 @@ def groups(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 3
             edges = edges.unionByName(found)
             roots = components(nodes, edges)
 
-    by_root = written(classes.select("node", "content", "least_id", "copies").join(roots, "node"))
-    total, rows_ = by_root.count(), signed.count()
-    least = by_root.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("classes"))
-    of_class = joined_by_key(by_root.select("root", "content", "copies"), least, "root", "classes", total).drop("root")
-    out = joined_by_key(signed.where("n > 0").select("doc_id", "n", "content"), written(of_class), "content", "copies", rows_).drop("content")
-    out = out.unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return classes.select("node", "content", "least_id", "copies").join(roots, "node")

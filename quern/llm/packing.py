@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, small_batches, written
+from .shared import slices, small_batches, tidy, written
 from .tokens import library_encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -183,6 +183,7 @@ def superstep(gaps: DataFrame, counts: dict[int, int], opened: int, size: int) -
 def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
     """Add sequence_id and offset to pieces (of ``token_pieces``)."""
     spark = pieces.sparkSession
+    tidy(spark)
     placed, lengths = ranked(written(pieces), "length", ["doc_id", "piece", "start", "ids_crc32"])
     counts = {r["length"]: r["n"] for r in lengths.collect()}  # ``size`` numbers at most
     gaps, opened, steps, top = spark.createDataFrame([], "sequence_id long, width long"), 0, [], size + 1

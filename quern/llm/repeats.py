@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ragged, release_caches, small_batches, text_bytes
+from .shared import ragged, release_caches, small_batches, text_bytes, tidy
 
 GRAM = 20
 HOT = 20_000
@@ -350,6 +350,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     small_batches(docs.sparkSession)
+    tidy(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # so that no column's name clashes
     key, text = f"c{names.index(key)}", f"c{names.index(text)}"

@@ -60,10 +60,25 @@ def removing(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     path = path or shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", str(32 << 20)).parquet(path)  # writers hold a block in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of results that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns, and remove the tables and shuffle files that it left on the way."""
+    path = shared_dir(spark)
+    with removing(spark):
+        out = written(make(), path=path)
+    tidy(spark)
+    return out
+
+
 def joined_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join with ``table``, which has one row a key and its number of ``rows`` in column ``count``.
 
