@@ -114,21 +114,22 @@ class RunIndex:
         cut = np.flatnonzero(other)
         least, most = np.minimum.reduceat(owner[text], cut), np.maximum.reduceat(owner[text], cut)
         some = long[cut] & (least < most)  # only these can mark anything
-        self.stretch, self.past, self.least = np.r_[-1, cut[some]], np.r_[-1, np.r_[cut[1:], len(text)][some]], np.r_[0, least[some]]
+        # a directory of the rows, which saves searching: the run of each, and the stretch (0: none)
+        ends = np.r_[cut[1:], len(text)]
+        self.run = np.repeat(np.arange(len(head), dtype=np.int32), run)
+        self.stretch = np.repeat(np.where(some, np.cumsum(some), 0).astype(np.int32), ends - cut)
+        self.least = np.r_[np.iinfo(np.int64).max, least[some]]  # by stretch
 
     def lf(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
         """The rows of the suffixes that are one byte longer, from rows and their runs."""
         return self.to[run] + row - self.head[run]
 
-    def run_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.head, row, side="right") - 1
-
     def marks(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stream all texts backwards: (text, place) where ``length`` bytes also occur in a text of a smaller owner."""
         text, row, at = np.arange(len(self.size)), np.arange(len(self.size)), self.size.copy()
         found_text, found_at = [], []
         while True:
-            run = self.run_of(row)
+            run = self.run[row]
             end = np.flatnonzero(self.last[run] == row)
             if (self.sample[run[end]] != text[end] * self.places + at[end]).any():
                 raise AssertionError("the run-length index is damaged")
@@ -136,8 +137,7 @@ class RunIndex:
             text, row, at = text[go], self.lf(row[go], run[go]), at[go] - 1
             if not len(text):
                 break
-            k = np.searchsorted(self.stretch, row, side="right") - 1
-            hit = (row < self.past[k]) & (self.least[k] < owner[text])
+            hit = self.least[self.stretch[row]] < owner[text]
             found_text.append(text[hit])
             found_at.append(at[hit])
         none = np.zeros(0, np.int64)

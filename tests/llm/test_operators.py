@@ -134,7 +134,7 @@ def test_run_index_walks_back_through_texts():
     index = repeats.RunIndex(padded, size, np.arange(30), 20)
     row, back = np.arange(30), [b""] * 30
     for _ in range(int(size.max())):
-        run = index.run_of(row)
+        run = index.run[row]
         row, char = index.lf(row, run), index.char[run]
         back = [bytes([c]) + b if c else b for c, b in zip(char, back)]
         row = np.where(char > 0, row, 0)
