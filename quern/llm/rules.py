@@ -42,11 +42,16 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _repeats() -> str:
-    """Words within a 3-word window that the text has twice or more: sort the windows, keep those with an equal neighbour, add up what they cover."""
+    """Words within a 3-word window that the text has twice or more: sort the windows, keep those with an equal neighbour, add up what they cover.
+
+    Windows whose hashes all differ all differ; most texts end there.
+    """
     windows = "transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g, i AS i))"
     twice = "filter(s, (x, j) -> coalesce(get(s, j - 1).g = x.g, false) OR coalesce(get(s, j + 1).g = x.g, false))"
     covered = f"aggregate(sort_array(transform({twice}, x -> x.i)), struct(-3 AS last, 0L AS n), (a, x) -> struct(x AS last, a.n + least(3, x - a.last) AS n), a -> a.n)"
-    return f"CASE WHEN size(w) < 4 THEN 0L ELSE {_let(f'sort_array({windows})', 's', covered)} END"
+    hashes = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
+    alone = _let(hashes, "h", "size(array_distinct(h)) = size(h)")
+    return f"CASE WHEN size(w) < 4 OR {alone} THEN 0L ELSE {_let(f'sort_array({windows})', 's', covered)} END"
 
 
 def features(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
