@@ -120,10 +120,10 @@ def classes(code: np.ndarray) -> np.ndarray:
 def labelled_text(rng: random.Random) -> tuple[str, list[Span]]:
     """A text with its labelled spans: personal data, also in forms that the rules don't know, among words and look-alikes."""
     letters = "aeinorstlhdcumü"
-    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(1, 9)))
     name = lambda: word().replace("ü", "u")
-    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
     top = lambda: rng.choice(["example.com", "org", "net", "com", "co.uk", "de"])
 
     def item() -> tuple[int, str]:
@@ -144,14 +144,15 @@ def labelled_text(rng: random.Random) -> tuple[str, list[Span]]:
         if kind == 3:
             gap = rng.choice([" ", "-", ".", "/"])
             return 3, rng.choice([
-                f"+{digits(rng.randint(1, 2))}{rng.choice([' ', ' (', '-'])}{digits(3)}{rng.choice([') ', ' ', '-'])}{digits(3)}{rng.choice(['-', ' '])}{digits(4)}",
-                f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{rng.choice('-.')}{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(2)} {digits(rng.randint(6, 8))}",
-                f"0{digits(rng.randint(2, 4))}{gap}{digits(rng.randint(6, 8))}"])
+                lambda: f"+{digits(rng.randint(1, 2))}{rng.choice([' ', ' (', '-'])}{digits(3)}{rng.choice([') ', ' ', '-'])}{digits(3)}{rng.choice(['-', ' '])}{digits(4)}",
+                lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}{rng.choice('-.')}{digits(3)}-{digits(4)}", lambda: f"00{digits(2)} {digits(2)} {digits(rng.randint(6, 8))}",
+                lambda: f"0{digits(rng.randint(2, 4))}{gap}{digits(rng.randint(6, 8))}"])()
         return -1, rng.choice([
-            f"password={hexes(18)}", f'token = "{hexes(32)}"', f"version {digits(1)}.{digits(1)}.{digits(2)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
-            f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}", f"{rng.randint(1900, 1999)}-{rng.randint(2000, 2030)}", f"{digits(2)}:{digits(2)}:{digits(2)}", digits(rng.randint(1, 6)),
-            f"{rng.choice(['order', 'no.', 'id', 'ticket'])} {digits(rng.randint(7, 20))}", f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"${digits(2)}.{digits(2)}", f"{digits(3)},{digits(3)}.{digits(2)}",
-            f"AKIA{word().upper()}{digits(3)}", f"{word()}@{word()}", f"@{word()}{digits(2)}", f"{rng.randint(1, 20)}:{digits(2)}", f"{digits(2)}%", f"({digits(rng.randint(1, 4))})", f"{word()}{digits(2)}", f"pp. {digits(3)}-{digits(3)}", hexes(40)])
+            lambda: f"password={hexes(18)}", lambda: f'token = "{hexes(32)}"', lambda: f"version {digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+            lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1900, 1999)}-{rng.randint(2000, 2030)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
+            lambda: digits(rng.randint(1, 6)), lambda: f"{rng.choice(['order', 'no.', 'id', 'ticket'])} {digits(rng.randint(7, 20))}", lambda: f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+            lambda: f"${digits(2)}.{digits(2)}", lambda: f"{digits(3)},{digits(3)}.{digits(2)}", lambda: f"AKIA{word().upper()}{digits(3)}", lambda: f"{word()}@{word()}", lambda: f"@{word()}{digits(2)}",
+            lambda: f"{rng.randint(1, 20)}:{digits(2)}", lambda: f"{digits(2)}%", lambda: f"({digits(rng.randint(1, 4))})", lambda: f"{word()}{digits(2)}", lambda: f"pp. {digits(3)}-{digits(3)}", lambda: hexes(40)])()
 
     parts, spans, at = [], [], 0
     while at < 150:
