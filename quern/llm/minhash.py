@@ -131,7 +131,7 @@ def links_within(mixed: DataFrame, percent: int, block: int, exact: bool = False
     below that of a pair at the threshold (never, if ``exact``); the others are confirmed on full sets. The classes outside the
     largest component and those inside are each cut into blocks of about ``block`` shingles. An outside block meets every inside
     block and every outside block; inside blocks don't meet each other, so where one block holds all that is outside, an inside
-    class is sent once. Blocks are compared within numpy, so only links become rows. A pair that shares several buckets comes
+    class is sent once; an outside block meets itself where it meets the first inside block. Blocks are compared within numpy, so only links become rows. A pair that shares several buckets comes
     from the first.
     """
     out = F.col("root") != F.col("main")
@@ -141,7 +141,7 @@ def links_within(mixed: DataFrame, percent: int, block: int, exact: bool = False
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     within = F.transform(numbers("inner"), lambda j: cell(0, F.col("own"), j))
-    among = F.transform(numbers("outer"), lambda j: cell(1, F.least("own", j), F.greatest("own", j)))
+    among = F.transform(F.filter(numbers("outer"), lambda j: j != F.col("own")), lambda j: cell(1, F.least("own", j), F.greatest("own", j)))
     met = F.transform(numbers("outer"), lambda i: cell(0, i, F.col("own")))
     cut = cut.withColumn("cell", F.explode(F.when(out, F.concat(within, among)).otherwise(met))).select("*", "cell.*")
 
@@ -158,9 +158,9 @@ def links_within(mixed: DataFrame, percent: int, block: int, exact: bool = False
         out_a, out_b = [], []
         outside = root != main
         left = np.flatnonzero(outside & ((kind == 0) | (own == i)))
-        right = ~outside if kind == 0 else own == j
+        right = ~outside | (j == 0) if kind == 0 else own == j
         for x in left:
-            with_ = np.flatnonzero(right & (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((node > node[x]) | (kind == 0) | (i != j)))
+            with_ = np.flatnonzero(right & (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((node > node[x]) | ~outside | (kind == 1)))
             if len(with_) and not exact:
                 with_ = with_[(sketch[with_] == sketch[x]).sum(1) >= least]
             if len(with_):
