@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ragged, release_caches, small_batches, text_bytes, tidy
+from .shared import give_back, ragged, release_caches, small_batches, text_bytes, tidy
 
 GRAM = 20
 HOT = 20_000
@@ -49,13 +49,23 @@ def _ranks(*keys: np.ndarray) -> np.ndarray:
     """Dense ranks (from 1) of tuples of non-negative integers."""
     key = keys[0]
     for k in keys[1:]:
-        key = key * np.int64(int(k.max()) + 1) + k
-    flat = key.ravel()
+        key = key.astype(np.int64)
+        key *= np.int64(int(k.max()) + 1)
+        key += k
+    flat, shape, small = key.ravel(), key.shape, _small(key.size)
+    del key
     order = np.argsort(flat)
-    new = np.r_[True, flat[order[1:]] != flat[order[:-1]]]
-    out = np.empty(len(flat), np.int64)
-    out[order] = np.cumsum(new)
-    return out.reshape(key.shape)
+    flat = flat[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    del flat
+    out = np.empty(len(order), small)
+    out[order] = np.cumsum(new, dtype=small)
+    return out.reshape(shape)
+
+
+def _small(count: int) -> type:
+    """The integers that count so far take half the memory where they can."""
+    return np.int32 if count < (1 << 31) - 1 else np.int64
 
 
 def _ahead(rank: np.ndarray, places: int) -> np.ndarray:
@@ -78,6 +88,7 @@ class RunIndex:
         first[:, :width] = padded
         eight = np.ndarray((m, width + 1), ">u8", first.data, strides=(width + 9, 1)).astype(np.uint64)
         block, rank = 8, _ranks(eight)
+        del eight, first
         rank[~inside] = 0
         part, shared = (rank, 8) if length >= 8 else (None, 0)  # the longest ranks that ``length`` bytes cover
         while block * 2 < width + 1:
@@ -87,24 +98,38 @@ class RunIndex:
             if block <= length:
                 part, shared = rank, block
         # the last doubling sorts; equal suffixes go by text
-        key = (rank * np.int64(int(rank.max()) + 1) + _ahead(rank, block))[inside]
-        text, at = np.nonzero(inside)
-        bits = len(text).bit_length()
-        order = np.argsort(key << bits | np.arange(len(text))) if int(key.max()) < 1 << 62 - bits else np.argsort(key, kind="stable")
+        key = rank[inside].astype(np.int64)
+        key *= np.int64(int(rank.max()) + 1)
+        key += _ahead(rank, block)[inside]
+        del rank
+        bits = len(key).bit_length()
+        if int(key.max()) < 1 << 62 - bits:
+            key <<= bits
+            key |= np.arange(len(key))
+            order = np.argsort(key)
+        else:
+            order = np.argsort(key, kind="stable")
+        del key
+        small = _small(m * (width + 1))
+        order = order.astype(small)
+        text = np.repeat(np.arange(m, dtype=small), size + 1)
+        at = ragged(np.zeros(m, np.int64), size + 1).astype(small)
         text, at = text[order], at[order]
+        del order, inside
         before = np.where(at > 0, padded[text, at - 1], 0)
-        head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
+        head = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]).astype(small)
         self.rows, self.head, self.char = len(text), head, before[head]
-        run = np.diff(np.r_[head, len(text)])
-        self.last, self.places = head + run - 1, width + 1
+        del before
+        run = np.diff(head, append=small(len(text)))
+        self.last, self.places = head + run - 1, small(width + 1)
         self.sample = text[self.last] * self.places + at[self.last]  # the suffix array at run ends
         by = np.argsort(self.char, kind="stable")
-        total = np.cumsum(run[by]) - run[by]
-        self.to = np.empty(len(head), np.int64)  # LF of each run's first row
-        self.to[by] = total  # runs in order of their characters follow each other
+        self.to = np.empty(len(head), small)  # LF of each run's first row
+        self.to[by] = np.cumsum(run[by], dtype=small) - run[by]  # runs in order of their characters follow each other
+        del by
         # stretches of rows whose suffixes share ``length`` bytes, and the least owner in each
         long = at + length <= size[text]
-        place = text * (width + 1) + at
+        place = text * small(width + 1) + at  # below m * (width + 1)
         flat, other = part.ravel(), np.zeros(len(text), bool)
         for ahead in [*range(0, length - shared, shared), length - shared]:  # these blocks cover ``length`` bytes
             r = flat[np.minimum(place + ahead, len(flat) - 1)]
@@ -112,6 +137,7 @@ class RunIndex:
         other[0] = True
         other[1:] |= ~long[1:] | ~long[:-1]
         cut = np.flatnonzero(other)
+        del place, r, flat, part, other
         least, most = np.minimum.reduceat(owner[text], cut), np.maximum.reduceat(owner[text], cut)
         some = long[cut] & (least < most)  # only these can mark anything
         # a directory of the rows, which saves searching: the run of each, and the stretch (0: none)
@@ -219,6 +245,7 @@ class Chunk:
             parts.append((at + self.off[i], doc + i, gram, a + self.off[i], b + self.off[i], context))
             i = j
         self.at, self.doc, gram, self.a, self.b, context = (np.concatenate(c) for c in zip(*parts)) if parts else anchors(self.flat, self.off, length)
+        del parts
         bucket, self.gram = (gram % np.uint64(buckets)).astype(np.int64), (gram >> np.uint64(32)).astype(np.int64)
         context = (context >> np.uint64(16)).astype(np.int64)  # 48 bits within one gram
         order = np.lexsort((self.doc, context, self.gram, bucket))
@@ -310,14 +337,17 @@ def _judge(gram: np.ndarray, context: np.ndarray, least: np.ndarray, hot: int) -
     kinds = np.add.reduceat(new.astype(np.int64), heads)
     smallest = np.repeat(d[firsts], np.diff(np.r_[firsts, len(g)]))
     answer = np.where(d == smallest, np.where(np.repeat(kinds > 1, size), MANY, COLD), SEEN)
-    answer[np.repeat(size >= hot, size)] = FLOOD
+    answer[np.repeat(size >= hot, size) & (answer != SEEN)] = FLOOD  # what a smaller doc_id has is settled in any group
     out = np.empty(len(g), np.uint8)
     out[order] = answer
     return out
 
 
-def _index_spans(ids: np.ndarray, groups: np.ndarray, size: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of repeated windows among texts of a bucket; texts of one group share an index."""
+def _index_spans(ids: np.ndarray, groups: np.ndarray, size: np.ndarray, raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of repeated passages among texts of a bucket; texts of one group share an index.
+
+    Equal texts are indexed once, under their least id: the others' whole texts also occur there, those of the least id have its spans.
+    """
     at = np.cumsum(size) - size
     flat = np.frombuffer(raw, np.uint8)
     order = np.argsort(groups, kind="stable")
@@ -327,16 +357,24 @@ def _index_spans(ids: np.ndarray, groups: np.ndarray, size: np.ndarray, raw: byt
         if nxt - last > INDEXED and h > last:
             cuts.append(int(h))
             last = h
-    texts, places = [], []
+    found = []
     for i, j in zip(cuts, [*cuts[1:], len(order)]):
         mine = order[i:j]
         padded = np.zeros((len(mine), int(size[mine].max())), np.uint8)
         rows = np.repeat(np.arange(len(mine)), size[mine])
         padded[rows, ragged(np.zeros(len(mine), np.int64), size[mine])] = flat[ragged(at[mine], size[mine])] + 1  # UTF-8 has no byte 255
-        text, place = RunIndex(padded, size[mine], ids[mine], length).marks(ids[mine])
-        texts.append(mine[text])
-        places.append(place)
-    return np.concatenate(texts), np.concatenate(places)
+        _, one, same = np.unique(padded.view(f"V{padded.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, ids[mine])
+        text, place = RunIndex(padded[one], size[mine[one]], least, length).marks(least)
+        text, start, end = _merged(text, place, place + length)
+        own = ids[mine] == least[same]
+        copies, first = mine[~own], np.searchsorted(text, same[own])
+        spans = np.searchsorted(text, same[own], side="right") - first
+        at_span = ragged(first, spans)
+        found.append((np.repeat(mine[own], spans), start[at_span], end[at_span]))
+        found.append((copies, np.zeros(len(copies), np.int64), size[copies]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 Finish = Callable[[pa.Table, list[bytes], list[list[tuple[int, int]]]], pa.Table]
@@ -363,6 +401,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
 
     def send(table: pa.Table) -> pa.Table:
         release_caches()
+        give_back()
         chunk = table.column("__chunk")[0].as_py()
         c = Chunk(table, text, length, buckets)
         sent = c.nth < hot
@@ -376,6 +415,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
         return _rows({"part": part, "chunk": [chunk] * len(part), "data": data}, _PASS)
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()
         part = table.column("part")[0].as_py()
         chunk, gram, context, least = _answers(table)
         said = _judge(gram, context, least, hot)
@@ -385,6 +425,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows({"part": [], "chunk": [], "data": []}, _PASS)
+        give_back()
         chunk = left.column("__chunk")[0].as_py()
         c = Chunk(left, text, length, buckets)
         said = np.full(len(c.e_gram), FLOOD, np.uint8)
@@ -440,6 +481,7 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
         part = table.column("part")[0].as_py()
         if part < 0:  # spans that are known already
             return table
+        give_back()
         cols, raw = [], []
         for chunk, data in zip(table.column("chunk").to_pylist(), table.column("data")):
             data = data.as_py()
@@ -448,17 +490,18 @@ def without_repeats(docs: DataFrame, finish: Finish, schema: str, *, length: int
             cols.append([*(x.astype(np.int64) for x in got), np.full(len(got[0]), chunk)])
             raw.append(_unpack(data[8 + n :], "u1")[0].tobytes())
         group, ids, owner, start, size, chunk = (np.concatenate(c) for c in zip(*cols))
-        t, place = _index_spans(ids, group, size, b"".join(raw), length)
+        t, a, b = _index_spans(ids, group, size, b"".join(raw), length)
         rows = {"part": [], "chunk": [], "data": []}
         for k in np.unique(chunk[t]):
             some = chunk[t] == k
-            doc, a, b = _merged(owner[t[some]], start[t[some]] + place[some], start[t[some]] + place[some] + length)
+            doc, lost, end = _merged(owner[t[some]], start[t[some]] + a[some], start[t[some]] + b[some])
             rows["part"].append(-1 - int(k))
             rows["chunk"].append(int(k))
-            rows["data"].append(_pack(doc.astype("<u4"), a.astype("<u4"), b.astype("<u4")))
+            rows["data"].append(_pack(doc.astype("<u4"), lost.astype("<u4"), end.astype("<u4")))
         return _rows(rows, _PASS)
 
     def cut(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+        give_back()
         table = _sorted_chunk(left)
         flat, off = text_bytes(table.column(text).combine_chunks() if table.num_rows else pa.array([], pa.string()))
         got = [_unpack(d.as_py(), "<u4", "<u4", "<u4")[:3] for d in right.column("data")]

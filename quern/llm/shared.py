@@ -112,6 +112,11 @@ def release_caches() -> None:
     while _caches:
         _caches.pop()()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Give the system the memory that this Python worker freed but still holds."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

@@ -125,6 +125,43 @@ def test_rows_of_one_id_are_dealt_to_many_chunks(spark):
     assert clean.columns == df.columns and clean.where("__id = 'a' AND c0 = 'b' AND __chunk = 1").count() == len(rows)
 
 
+def test_equal_texts_of_a_bucket_are_indexed_once(monkeypatch):
+    texts = [rng.choice(b"abcdefgh").to_bytes() * 30 + bytes(rng.choice(b"xyz") for _ in range(50)) for _ in range(20)] * 30
+    texts += [t[10:] for t in texts[:20]]
+    ids, size = np.array([rng.randint(-5, 400) for _ in texts]), np.array(list(map(len, texts)))
+    rows, plain = [], repeats.RunIndex
+    monkeypatch.setattr(repeats, "RunIndex", lambda padded, *rest: rows.append(len(padded)) or plain(padded, *rest))
+    found = repeats._index_spans(ids, np.zeros(len(texts), np.int64), size, b"".join(texts), 50)
+    assert sum(rows) <= 40
+    lost = [set() for _ in texts]
+    for t, a, b in zip(*map(np.ndarray.tolist, found)):
+        lost[t] |= set(range(a, b))
+    first: dict = {}
+    for i, t in zip(ids.tolist(), texts):
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    for i, t, gone in zip(ids.tolist(), texts, lost):
+        assert gone == {q for p in range(len(t) - 49) if first[t[p : p + 50]] < i for q in range(p, p + 50)}
+
+
+def test_run_index_takes_bounded_memory_a_suffix():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    padded, size = r.integers(97, 123, (5_000, 80), np.uint8), np.full(5_000, 80)
+    tracemalloc.start()
+    repeats.RunIndex(padded, size, np.arange(5_000), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 5_000 * 81
+
+
+def test_contexts_that_a_smaller_id_has_are_settled_in_hot_groups_too():
+    gram, context, least = np.full(9, 4), np.repeat([1, 2, 3], 3), np.array([5, 2, 9, 1, 1, 8, 6, 7, 7])
+    S, F_ = repeats.SEEN, repeats.FLOOD
+    assert repeats._judge(gram, context, least, 3).tolist() == [S, F_, S, F_, F_, S, F_, S, S]
+
+
 def test_run_index_walks_back_through_texts():
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 70))) for _ in range(30)]
     size = np.array(list(map(len, texts)))
