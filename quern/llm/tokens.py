@@ -17,12 +17,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import cached_until_release, ragged
+from .shared import cached_until_release
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
 STARTS, ENDS = rf"^[{SPACE}]|^\z", rf"[{SPACE}]\z|^\z"
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """What ``to_pylist`` gives where no value is null, without a scalar for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceEncoder:
     """Encodes string columns through ``encode_many`` with a memory of at most ``room`` pieces.
 
@@ -38,12 +43,13 @@ class PieceEncoder:
         out = list(map(self.known.get, pieces))
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            new = {pieces[i]: sizes[i] for i in missing}
+            wanted = [pieces[i] for i in missing]
+            new = dict(zip(wanted, [sizes[i] for i in missing]))
             if len(self.known) + len(new) > self.room:
                 self.known.clear()
             found = dict(zip(new, self.encode_many(list(new), list(new.values()))))
-            for i in missing:
-                out[i] = found[pieces[i]]
+            for i, ids in zip(missing, map(found.__getitem__, wanted)):
+                out[i] = ids
             self.known.update(found if max(map(len, new)) < 200 else {p: x for p, x in found.items() if len(p) < 200})
         return out
 
@@ -67,8 +73,8 @@ class PieceEncoder:
         whole = np.add.reduceat(bad, first).astype(bool)
         for literal in self.literals:
             whole |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
-        pieces = pc.binary_join_element_wise("", words, " ").to_pylist()
-        heads = words.take(pa.array(codes[first])).to_pylist()
+        pieces = _strings(pc.binary_join_element_wise("", words, " "))
+        heads = _strings(words.take(pa.array(codes[first])))
         for i in np.flatnonzero(whole):
             heads[i] = texts[int(i)].as_py()
         u = len(pieces)
@@ -78,11 +84,10 @@ class PieceEncoder:
         sizes = np.where(starts | ends, 0, pc.binary_length(words).to_numpy() + 1).tolist()
         ids = self._ids(pieces + heads, sizes + [0] * n)
         ids.append(b"")
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(length) - length
-        counts = np.add.reduceat(length[codes], first)
-        return flat[ragged(begin[codes], length[codes])], np.concatenate([[0], np.cumsum(counts)])
+        placed = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(placed.buffers()[1], np.int64)[: len(codes) + 1] // 4
+        flat = np.frombuffer(placed.buffers()[2], np.uint32, int(ends[-1])) if ends[-1] else np.zeros(0, np.uint32)
+        return flat, ends[off]
 
 
 @lru_cache(maxsize=4)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm import bpe, chat, jpeg, minhash, packing, pii, quality, repeats, rules, sstable
+from quern.llm import bpe, chat, jpeg, minhash, packing, pii, quality, repeats, rules, sstable, tokens
 from quern.llm.queries import LIBRARY_VOCABULARY, RANKS
 
 SF = "/root/testdata/sf0.001"
@@ -407,6 +407,30 @@ def test_one_id_is_cut_into_several_shards_in_order_of_their_numbers(spark, libr
         at += r.n_tokens
 
 
+@pytest.mark.parametrize("texts", [["", None, ""], [None], ["a"], ["", "one two  three", None, "one two", " ", "one two  three", "é" * 300 + " <|endoftext|> x"], [LONG, "", LONG[7:9000]]])
+def test_columns_are_encoded_like_single_texts(library, texts):
+    flat, off = tokens.library_encoder(LIBRARY_VOCABULARY)(pa.chunked_array([pa.array(["before", *texts, "after"])]).combine_chunks().slice(1, len(texts)))
+    assert off[0] == 0 and len(off) == len(texts) + 1 and len(flat) == off[-1]
+    for t, a, b in zip(texts, off[:-1], off[1:]):
+        assert flat[a:b].tolist() == library(t)
+
+
+def test_pieces_become_strings_without_a_scalar_each():
+    import time
+
+    column = pa.array([f" w{i}" for i in range(200_000)])
+    times = []
+    for make in (tokens._strings, pa.Array.to_pylist):
+        made, best = None, 9.0
+        for _ in range(3):
+            t = time.thread_time()
+            made = make(column)
+            best = min(best, time.thread_time() - t)
+        times.append(best)
+        assert made[::50_000] == [" w0", " w50000", " w100000", " w150000"]
+    assert times[0] < 0.6 * times[1]
+
+
 def test_shard_numbers_pass_the_width_of_file_names():
     data = [b"".join(x + b"\n" for x in sstable.sections(iter([(i, b"\1\0")]), 2, 100, i)) for i in (99_999, 100_000)]
     assert [sstable.Shard(d).number for d in data] == [99_999, 100_000]
